@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, decontam, langid, simhash, substring
-from statloom.llm.common import table
+from statloom.llm import bpe, decontam, langid, license, quality, simhash, substring, suffix, tokenfile, toxicity
+from statloom.llm.common import shared_dir, table
 
 
 def tokenizer_file() -> str:
@@ -27,6 +27,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), rest != 0))
+    return found.select("doc_id", (rest == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -36,12 +47,27 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), path)
+    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rest = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3
     found = langid.predict(docs, langid.fit(docs, rest != 1))
     return found.select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed")
+
+
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -63,5 +89,49 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_GRID = ", ".join(f"('{name}', CAST({c!r} AS DOUBLE))" for name, (_, grid) in quality.RULES.items() for c in grid)
+_MEASURES = " UNION ALL ".join(f"SELECT doc_id, lang, '{name}' AS rule, CAST({m} AS DOUBLE) AS v FROM base WHERE n_words > 0" for name, (m, _) in quality.RULES.items())
+_P = quality.RISK / len(quality.RULES)
+
+OP9_SQL = rf"""
+WITH cut AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM cut),
+place AS (SELECT doc_id, i, w[i : i + 2] AS x FROM w, unnest(range(1, len(w) - 1)) AS r(i)),
+twice AS (SELECT doc_id, i FROM place QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 3)) AS r(j) GROUP BY doc_id),
+counts AS (SELECT doc_id, lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+m AS ({_MEASURES}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT m.* FROM m JOIN base USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed),
+grid(rule, cutoff) AS (VALUES {_GRID}),
+tried AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM held JOIN grid USING (rule) GROUP BY ALL),
+tests AS (SELECT count(DISTINCT lang) * (SELECT count(*) FROM grid) AS t FROM held),
+tail AS (SELECT *, CASE WHEN k < n * {_P!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r})))) ELSE 1 END AS p FROM tried),
+chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tail, tests WHERE p <= {quality.DELTA!r} / t GROUP BY lang, rule),
+failed AS (SELECT DISTINCT doc_id FROM m JOIN chosen USING (lang, rule) WHERE v > cutoff)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept FROM base
+"""
+
+_KNOWN = ", ".join("('" + license.normal(x) + "', '" + name + "')" for name, forms in license.SENTENCES.items() for x in forms)
+_RULES = ", ".join(f"({i}, '{name}', '" + r"\|" + r"\|(.*\|)?".join(seq) + r"\|" + "')" for i, (name, seq) in enumerate(license.RULES))
+_CUT = r"string_split(regexp_replace(regexp_replace({}, '([.;:!?])[ \t\r\n]+', '\1' || chr(10), 'g'), 'identifier:\n', 'identifier: ', 'g'), chr(10))"
+_LOW = "lower(coalesce(text, ''))"
+
+OP10_SQL = rf"""
+WITH known(sentence, id) AS (VALUES {_KNOWN}), rules(i, license, pattern) AS (VALUES {_RULES}),
+cut AS (SELECT doc_id, 0 AS wrapped, {_CUT.format(_LOW)} AS s FROM documents UNION ALL SELECT doc_id, 1, {_CUT.format("replace(" + _LOW + ", chr(10), ' ')")} FROM documents),
+form AS (SELECT doc_id, wrapped, i, trim(regexp_replace(s[i], '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS sentence FROM cut, unnest(range(1, len(s) + 1)) AS r(i)),
+ids AS (SELECT doc_id, wrapped, list(id ORDER BY i) AS ids FROM form JOIN known USING (sentence) GROUP BY doc_id, wrapped),
+best AS (SELECT doc_id, ids FROM ids QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(ids) DESC, wrapped) = 1),
+held AS (SELECT doc_id, license, min(i) AS i FROM best JOIN rules ON regexp_matches('|' || array_to_string(ids, '|') || '|', pattern) GROUP BY doc_id, license),
+named AS (SELECT doc_id, string_agg(license, ',' ORDER BY i) AS licenses FROM held GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op9_quality": OP9_SQL, "op10_license": OP10_SQL}
