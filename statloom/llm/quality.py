@@ -36,13 +36,6 @@ RULES: dict[str, tuple[str, list[float]]] = {
 }
 
 
-def _repeat_words(h: str) -> Column:
-    """Words in 3-word windows found twice or more: windows are sorted by hash, neighbours compared, their places merged."""
-    ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    n = F.size(h)
-    return F.zip_with(F.slice(ordered, F.lit(1), n - 1), F.slice(ordered, F.lit(2), n - 1), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
-
-
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, lang and the base counts of each whole text, and base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -61,8 +54,12 @@ def base(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<long>")).alias("h"),
     )
-    pairs = F.when(F.size(F.array_distinct("h")) < F.size("h"), _repeat_words("h"))
-    found = hashed.withColumn("p", F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
+    # windows of a text that repeats some: sorted by hash, neighbours compared, the places of equal ones merged
+    ordered = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    sorted_ = hashed.withColumn("o", ordered).drop("h")
+    n = F.size("o") - 1
+    pairs = F.zip_with(F.slice("o", F.lit(1), n), F.slice("o", F.lit(2), n), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
+    found = sorted_.withColumn("p", F.when(F.col("o").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))))
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.least(b - a, F.lit(3)))
     repeat = F.when(F.size("p") > 0, F.aggregate(steps, F.lit(3), lambda s, x: s + x)).otherwise(0)
     out = found.select("doc_id", "lang", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")], repeat.cast("long").alias("n_repeat_words"))
