@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import documents_of, text_rows, written
 
-BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5), 1.0, 4.0, 12_000, 1 << 19
+BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5), 1.0, 5.0, 8_000, 1 << 19
 _LANES = 1 << 16
 
 
