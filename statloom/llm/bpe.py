@@ -55,6 +55,17 @@ def words_of(text: str) -> list[str]:
     return [_CHUNK + x for x in _BLANK.split(text) if x]
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks between white space, from each of which cut_chunk() makes the words that words_of() finds in it."""
+    if _ODD.search(text) is None:
+        return text.lower().split()
+    return [_CHUNK + x for x in _BLANK.split(text) if x]
+
+
+def cut_chunk(chunk: str) -> list[str]:
+    return [chunk] if chunk[0] == _CHUNK else _WORD.findall(chunk)
+
+
 class WordEncoder:
     """Ids of single words of one tokenizer file of the word-end kind (byte-level letters, ``</w>``)."""
 

@@ -50,7 +50,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), path)
-    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return tokenfile.read_tokens(spark, path, digest=True)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ doc_id are written each, in the order of their texts. An empty table has no file
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,29 +24,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.bpe import WordEncoder, kept, words_of
+from statloom.llm.bpe import WordEncoder, chunks_of, cut_chunk, kept
 from statloom.llm.common import documents_of, text_rows
 
-BLOCK, PART, MEMO = 1 << 13, 1 << 22, 300_000
+BLOCK, PART, MEMO = 1 << 13, 1 << 22, 500_000
 FORMAT = "part long, block int, n_ids int, planes array<binary>, docs array<struct<doc_id:long,start:long,n_tokens:long>>"
 
 
 class Memo:
-    """Ids of words, kept between tasks in a worker; it starts anew at MEMO words, which changes no result."""
+    """Ids of white-space chunks, kept between tasks in a worker; it starts anew at MEMO chunks, which changes no result.
+
+    A chunk of plain text is cut into words only when it is new, and new words of many texts are encoded together.
+    """
 
     def __init__(self, definition: str):
         self.encoder, self.ids = WordEncoder.load(definition), {}
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        words = [words_of(x) for x in texts]
-        missing = {w for own in words for w in own if w not in self.ids}
+        chunks = [chunks_of(x) for x in texts]
+        missing = set().union(*chunks).difference(self.ids)
         if len(self.ids) + len(missing) > MEMO:
             self.ids.clear()
-            missing = {w for own in words for w in own}
+            missing = set().union(*chunks)
         if missing:
-            new = list(missing)
-            self.ids.update(zip(new, (x.tobytes() for x in self.encoder.encode(new))))
-        return [b"".join(map(self.ids.__getitem__, own)) + end for own in words]
+            words = {c: cut_chunk(c) for c in missing}
+            new = list(set().union(*words.values()))
+            ids = dict(zip(new, (x.tobytes() for x in self.encoder.encode(new))))
+            self.ids.update((c, b"".join(map(ids.__getitem__, own))) for c, own in words.items())
+        return [b"".join(map(self.ids.__getitem__, own)) + end for own in chunks]
 
 
 def planes(ids: bytes) -> list[bytes]:
@@ -118,22 +124,25 @@ _ARROW = pa.schema(
 )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of each document, read from the files."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of each document, read from the files.
+
+    With ``digest``, ids_crc32 (long, over the bytes of the ids) stands for the ids.
+    """
     files = spark.read.schema(FORMAT).parquet(path)
     # a row for each part, at least PART ids: few beside documents
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = sums.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
-        ids = b"".join(ids_of(p, n) for p, n in zip(rows.column("planes").to_pylist(), rows.column("n_ids").to_pylist()))
+        ids = memoryview(b"".join(ids_of(p, n) for p, n in zip(rows.column("planes").to_pylist(), rows.column("n_ids").to_pylist())))
         found = [d for own in rows.column("docs").to_pylist() for d in own]
         part = rows.column("part")[0].as_py()
-        cols = [pa.array([part] * len(found), pa.int64()), *(pa.array([d[c] for d in found], pa.int64()) for c in ("doc_id", "start", "n_tokens")), pa.array([ids[4 * d["start"] : 4 * (d["start"] + d["n_tokens"])] for d in found], pa.binary())]
-        return pa.table(cols, ["part", "doc_id", "start", "n_tokens", "ids"])
-
-    each = files.groupBy("part").applyInArrow(join, "part long, doc_id long, start long, n_tokens long, ids binary")
-    return each.join(base, F.col("part") == F.col("of")).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
-
+        own = (ids[4 * d["start"] : 4 * (d["start"] + d["n_tokens"])] for d in found)
+        cols = [pa.array([part] * len(found), pa.int64()), *(pa.array([d[c] for d in found], pa.int64()) for c in ("doc_id", "start", "n_tokens")), pa.array([zlib.crc32(x) if digest else x.tobytes() for x in own], kind)]
+        return pa.table(cols, ["part", "doc_id", "start", "n_tokens", last])
 
+    each = files.groupBy("part").applyInArrow(join, f"part long, doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
+    return each.join(base, F.col("part") == F.col("of")).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", last)
