@@ -37,23 +37,28 @@ def floats(a: pa.Array) -> np.ndarray:
     return a.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
 
 
-def from_moments(record_of: str, kernel: Callable, *cols: Column, **options) -> Column:
-    """The record of statistic ``record_of`` by a kernel over columns of sufficient statistics."""
+def moment_udf(record_of: str, kernel: Callable, **options):
+    """A UDF from sufficient statistics (doubles) to the record of statistic ``record_of``."""
     schema = kernels.SCHEMAS[record_of]
 
     def run(*arrays: pa.Array) -> pa.Array:
         with np.errstate(all="ignore"):
             return record(*kernel(*map(floats, arrays), **options), schema)
 
-    return F.arrow_udf(run, f"struct<{_sql(schema)}>")(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cols])
+    return F.arrow_udf(run, f"struct<{_sql(schema)}>")
+
+
+def from_moments(record_of: str, kernel: Callable, *cols: Column, **options) -> Column:
+    """The record of statistic ``record_of`` by a kernel over columns of sufficient statistics."""
+    return moment_udf(record_of, kernel, **options)(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cols])
 
 
 def _sql(schema: str) -> str:
     return ", ".join(f"`{name}`:{kind}" for name, kind in (f.split() for f in schema.split(", ")))
 
 
-def from_lists(record_of: str, kernel: Callable, of: Callable, *cols: Column, strings: int = 0, pairs: bool = False, **options) -> Column:
-    """The record of statistic ``record_of`` over collected lists: ``of`` reduces a group's values to what the kernel takes.
+def list_udf(record_of: str, kernel: Callable, of: Callable, *, strings: int = 0, pairs: bool = False, **options):
+    """A UDF from collected lists to the record of statistic ``record_of``: ``of`` reduces a group's values to what the kernel takes.
 
     The first columns are lists (of structs x, y if ``pairs``), the last ``strings`` of their fields are texts; columns
     that are no lists are passed on as numbers.
@@ -73,4 +78,9 @@ def from_lists(record_of: str, kernel: Callable, of: Callable, *cols: Column, st
             rows = [of(*[x for v in row for x in value(v)]) for row in zip(*(a.to_pylist() for a in arrays))]
             return record(*kernel(*(np.array([np.nan if v is None else v for v in c], float) for c in zip(*rows)), **options), schema) if rows else record(np.zeros(0, bool), {n: np.zeros(0) for n, _ in fields_of(schema)}, schema)
 
-    return F.arrow_udf(run, f"struct<{_sql(schema)}>")(*cols)
+    return F.arrow_udf(run, f"struct<{_sql(schema)}>")
+
+
+def from_lists(record_of: str, kernel: Callable, of: Callable, *cols: Column, **options) -> Column:
+    """The record of statistic ``record_of`` over collected lists; see list_udf()."""
+    return list_udf(record_of, kernel, of, **options)(*cols)

@@ -73,8 +73,13 @@ def _named(name: str) -> Callable[..., Column]:
 globals().update({name: _named(name) for name in special.DISTRIBUTIONS})
 
 
+def _lists(a: pa.Array) -> list:
+    """Lists of floats, also from the decimals that SQL literals are."""
+    return a.cast(pa.list_(pa.float64())).to_pylist()
+
+
 def _adjust(p: pa.Array, method: pa.Array) -> pa.Array:
-    return pa.array([None if v is None or m is None else kernels.adjust_p(v, validate.adjust_method(m)) for v, m in zip(p.to_pylist(), method.to_pylist())], pa.list_(pa.float64()))
+    return pa.array([None if v is None or m is None else kernels.adjust_p(v, validate.adjust_method(m)) for v, m in zip(_lists(p), method.to_pylist())], pa.list_(pa.float64()))
 
 
 def adjust_p(p: Column | str, method: str | Column) -> Column:
@@ -86,7 +91,7 @@ def adjust_p(p: Column | str, method: str | Column) -> Column:
 
 
 def _poibin(p: pa.Array, k: pa.Array) -> pa.Array:
-    return pa.array([None if v is None or n is None else kernels.poibin_cdf(v, n) for v, n in zip(p.to_pylist(), k.to_pylist())], pa.float64())
+    return pa.array([None if v is None or n is None else kernels.poibin_cdf(v, n) for v, n in zip(_lists(p), k.to_pylist())], pa.float64())
 
 
 def poibin_cdf(p: Column | str, k) -> Column:
@@ -99,7 +104,7 @@ def _label(x: pa.Array, edges: pa.Array) -> pa.Array:
     """``edges`` repeat for all rows of a table as a rule, so their texts are made once for each list."""
     made: dict = {}
     out = []
-    for v, e in zip(x.to_pylist(), edges.to_pylist()):
+    for v, e in zip(x.cast(pa.float64()).to_pylist(), _lists(edges)):
         if v is None or v != v or e is None or len(e) < 2 or None in e or not e[0] <= v <= e[-1]:
             out.append(None)
             continue

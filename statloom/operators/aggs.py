@@ -92,20 +92,25 @@ def _signs(name: str, d: Column, alternative: str, over, label: str) -> Column:
     return from_moments(name, kernels.sign_test, w(F.count_if(d > 0)), w(F.count_if(d < 0)), w(F.count_if(d == 0)), alternative=validate.alternative(alternative), label=label)
 
 
-def bin_edges(x, method: str = "sturges", *, over: WindowSpec | None = None) -> Column:
-    """Edges of bins of equal width by a rule for their number."""
-    method, w, v = validate.bin_method(method), _over(over), valid(num(x))
+def edges_udf(method: str):
+    """A UDF from count, minimum, maximum, standard deviation and interquartile range to edges."""
 
     def run(*arrays: pa.Array) -> pa.Array:
         with np.errstate(all="ignore"):
             return pa.array(kernels.bin_edges(*map(floats, arrays), method), pa.list_(pa.float64()))
 
+    return F.arrow_udf(run, "array<double>")
+
+
+def bin_edges(x, method: str = "sturges", *, over: WindowSpec | None = None) -> Column:
+    """Edges of bins of equal width by a rule for their number."""
+    method, w, v = validate.bin_method(method), _over(over), valid(num(x))
     if method in ("fd", "auto"):
         q = w(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
         iqr = F.get(q, F.lit(1)) - F.get(q, F.lit(0))
     else:
         iqr = F.lit(0.0)
-    return F.arrow_udf(run, "array<double>")(w(F.count(v)).cast("double"), w(F.min(v)), w(F.max(v)), w(F.stddev_samp(v)), iqr)
+    return edges_udf(method)(w(F.count(v)).cast("double"), w(F.min(v)), w(F.max(v)), w(F.stddev_samp(v)), iqr)
 
 
 def _list(c: Column, over) -> Column:
