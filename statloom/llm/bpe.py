@@ -31,9 +31,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from statloom.llm.common import documents_of, partitions, text_rows
+from statloom.llm.common import documents_of, partitions, text_rows, trim
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _ODD = re.compile("[^\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 _BLANK = re.compile("[ \t\n\r]+")
@@ -156,6 +156,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
             rows = [(k, _pack(b"\n".join(sorted(x)))) for k, x in dealt.items()]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "bucket", "words"])
+        trim()
 
     def answer(rows: pa.Table) -> pa.Table:
         encoder = WordEncoder.load(definition)
@@ -166,6 +167,8 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         for words in asked:
             own = [ids[w] for w in words]
             out.append(_pack(np.fromiter(map(len, own), np.uint32, len(own)).tobytes() + np.concatenate(own).astype(np.uint32).tobytes()))
+        del asked, distinct, ids
+        trim()
         return pa.table([rows.column("block"), rows.column("words"), pa.array(out, pa.binary())], ["block", "words", "ids"])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +178,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             with pa.ipc.new_stream(sink, data.schema) as w:
                 w.write_batch(data)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack(sink.getvalue().to_pybytes())], pa.binary())], ["block", "docs"])
+        trim()
 
     def put(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.load(definition)
@@ -202,6 +206,8 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     out = ([], [], [])
         if out[0]:
             yield _encoded(*out, names)
+        ids.clear(), said.clear()
+        trim()
 
     answered = docs.mapInArrow(ask, "block long, bucket int, words binary").groupBy("bucket").applyInArrow(answer, "block long, words binary, ids binary")
     packed = docs.mapInArrow(pack, "block long, docs binary")

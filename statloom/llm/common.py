@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,8 +43,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches for Python get 1,000 rows at most, as rows hold whole texts, unless the session says otherwise."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers wait for tasks beside others that run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """Exactly ``doc_id`` (long) and ``text`` (string); whatever else the table has does not get into the way."""
+    short_batches(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import documents_of, text_rows
+from statloom.llm.common import documents_of, short_batches, text_rows, trim
 
 UND = "und"
 _BREAK = re.compile(r"[\W\d_]+")
@@ -48,7 +48,7 @@ def top_grams(codes: np.ndarray, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: Column | None = None, k: int = 400) -> dict[str, np.ndarray]:
     """Profiles by language from the rows with ``lang`` and text, those for which ``learn`` holds if it is given."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = short_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = (rows if learn is None else rows.where(learn)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +74,7 @@ def fit(docs: DataFrame, learn: Column | None = None, k: int = 400) -> dict[str,
             close(lang)
         for lang, (codes, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n, pa.int64())], ["lang", "code", "n"])
+        trim()
 
     counted = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -114,6 +115,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], k: int = 400) -> D
         for batch in batches:
             found = [model.predict(text) if model else (UND, 0.0) for _, text in text_rows([batch])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        trim()
 
     return documents_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -126,5 +128,6 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], k: int = 400, m
         for batch in batches:
             found = [model.predict(text) if model else (UND, 0.0) for _, text in text_rows([batch.select([at, at])])]
             yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_()))
+        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)

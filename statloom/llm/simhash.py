@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import documents_of, raw_rows, written
+from statloom.llm.common import documents_of, raw_rows, trim, written
 
 #: A rooted subtree of more fingerprints than this is rooted once more.
 HOT = 20_000
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
                 ids, fps = [], []
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        trim()
 
     return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -185,6 +186,7 @@ def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
             held.append(rows[cut:])
         if held:
             yield walk(np.concatenate(held))
+        trim()
 
     return dealt.mapInArrow(run, "u long, v long").where("u != v").distinct()
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import documents_of, text_rows, written
+from statloom.llm.common import documents_of, text_rows, trim, written
 
 WIDTH, MIN_WORDS = 2, 10
 _CUT = re.compile(r"((?<=[.!?])[^\S\n]+|\s*\n\s*)")
@@ -68,6 +68,7 @@ def occurrences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS)
                 hashes, ids, places, again = [], [], [], []
         if ids:
             yield out()
+        trim()
 
     return documents_of(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "h1 long, h2 long, doc_id long, pos int, again boolean")
 
@@ -103,6 +104,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> Da
                 cols = list(part.columns[:-1])
                 cols[at] = pa.array([x[0] for x in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names)
+        trim()
 
     more = [T.StructField(c, T.LongType()) for c in names[-2:]]
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.bpe import WordEncoder, chunks_of, cut_chunk, kept
-from statloom.llm.common import documents_of, text_rows
+from statloom.llm.common import documents_of, text_rows, trim
 
 BLOCK, PART, MEMO = 1 << 13, 1 << 22, 500_000
 FORMAT = "part long, block int, n_ids int, planes array<binary>, docs array<struct<doc_id:long,start:long,n_tokens:long>>"
@@ -108,6 +108,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
                     part, block, size = part + 1, 0, 0
         put()
         yield from out(True)
+        trim()
 
     dealt = documents_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, FORMAT).write.option("compression", "uncompressed").parquet(path)
