@@ -92,24 +92,30 @@ class WordEncoder:
     def load(definition: str) -> WordEncoder:
         return kept("encoder-" + hashlib.sha256(definition.encode()).hexdigest(), lambda: WordEncoder(definition))
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word (unsigned 32-bit)."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def encode_raw(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
         plain = [i for i, w in enumerate(words) if w[0] != _CHUNK]
         for k in range(0, len(plain), 20_000):
             some = plain[k : k + 20_000]
             joined = " ".join([words[i] for i in some]).encode().decode("latin1").translate(self.letters)
-            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cut) != len(some):
                 raise AssertionError("a word's last piece is not marked")
-            for i, x in zip(some, np.split(ids, cut[:-1])):
-                out[i] = x
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = np.array(self.whole.encode(w[1:], add_special_tokens=False).ids, np.uint32)
+            raw = ids.tobytes()
+            for i, a, b in zip(some, [0, *cut], cut):
+                out[i] = raw[a:b]
+        if len(plain) < len(words):
+            for i, w in enumerate(words):
+                if w[0] == _CHUNK:
+                    out[i] = np.array(self.whole.encode(w[1:], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word (unsigned 32-bit)."""
+        return [np.frombuffer(x, np.uint32) for x in self.encode_raw(words)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The pieces of ``ids``, joined as the tokenizer joins them."""
         return " ".join(map(self.pieces.__getitem__, ids.tolist()))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import free
+
 WIDTH, SHINGLE = 10, 3
 #: Up to so many prefixes (about 24 bytes each) the table of prefixes is broadcast; beyond, it is shuffled like any other.
 BROADCAST_ROWS = 200_000
@@ -97,5 +99,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
     """The documents, all columns, without those in which a benchmark window occurs."""
-    found = hits(docs, benchmark, width, shingle).where(F.size("hit") > 0).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    key = free(docs, "gone")
+    found = hits(docs, benchmark, width, shingle).where(F.size("hit") > 0).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == F.col(key), "left_anti")

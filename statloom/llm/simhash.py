@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import documents_of, raw_rows, trim, written
+from statloom.llm.common import documents_of, free, raw_rows, trim, written
 
 #: A rooted subtree of more fingerprints than this is rooted once more.
 HOT = 20_000
@@ -232,5 +232,6 @@ def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
 
     Rows without a doc_id stay; so do repeated rows of the doc_id that stays.
     """
-    found = near_duplicates(docs, budget).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    key = free(docs, "gone")
+    found = near_duplicates(docs, budget).where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == F.col(key), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import documents_of, text_rows, trim, written
+from statloom.llm.common import documents_of, free, text_rows, trim, written
 
 WIDTH, MIN_WORDS = 2, 10
 _CUT = re.compile(r"((?<=[.!?])[^\S\n]+|\s*\n\s*)")
@@ -91,10 +91,14 @@ def cleaned(text: str, places: list[int], width: int = WIDTH) -> tuple[str, int,
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns, with ``text`` cleaned, and n_sentences and n_removed (long) after them."""
-    found = repeats(docs, width, min_words).select(F.col("doc_id").alias("__id"), "places")
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "places")
-    at, names = docs.columns.index("text"), [*docs.columns, "n_sentences", "n_removed"]
+    """The documents, all columns, with ``text`` cleaned, and n_sentences and n_removed (long) after them.
+
+    Where ``docs`` has columns of these two names, the new ones get an underscore more.
+    """
+    key, places = free(docs, "of"), free(docs, "places")
+    found = repeats(docs, width, min_words).select(F.col("doc_id").alias(key), F.col("places").alias(places))
+    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(key), "left").select(*[docs[c] for c in docs.columns], places)
+    at, names = docs.columns.index("text"), [*docs.columns, free(docs, "n_sentences"), free(docs, "n_removed")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,31 +27,43 @@ from pyspark.sql import functions as F
 from statloom.llm.bpe import WordEncoder, chunks_of, cut_chunk, kept
 from statloom.llm.common import documents_of, text_rows, trim
 
-BLOCK, PART, MEMO = 1 << 13, 1 << 22, 500_000
+BLOCK, PART, MEMO, WORDS = 1 << 13, 1 << 22, 400_000, 900_000
 FORMAT = "part long, block int, n_ids int, planes array<binary>, docs array<struct<doc_id:long,start:long,n_tokens:long>>"
 
 
 class Memo:
-    """Ids of white-space chunks, kept between tasks in a worker; it starts anew at MEMO chunks, which changes no result.
+    """Ids of white-space chunks, kept between tasks in a worker.
 
-    A chunk of plain text is cut into words only when it is new, and new words of many texts are encoded together.
+    The first MEMO chunks and WORDS words stay; frequent ones come early, so what is met later is rare and is encoded
+    again where it occurs. That changes no result. A chunk is cut into words only when it is new, and new words of many
+    texts are encoded together.
     """
 
     def __init__(self, definition: str):
-        self.encoder, self.ids = WordEncoder.load(definition), {}
+        self.encoder, self.ids, self.words = WordEncoder.load(definition), {}, {}
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         chunks = [chunks_of(x) for x in texts]
-        missing = set().union(*chunks).difference(self.ids)
-        if len(self.ids) + len(missing) > MEMO:
-            self.ids.clear()
-            missing = set().union(*chunks)
-        if missing:
-            words = {c: cut_chunk(c) for c in missing}
-            new = list(set().union(*words.values()))
-            ids = dict(zip(new, (x.tobytes() for x in self.encoder.encode(new))))
-            self.ids.update((c, b"".join(map(ids.__getitem__, own))) for c, own in words.items())
-        return [b"".join(map(self.ids.__getitem__, own)) + end for own in chunks]
+        found = [list(map(self.ids.get, own)) for own in chunks]
+        holes = [[k for k, v in enumerate(own) if v is None] if None in own else () for own in found]
+        new = self._encoded({own[k] for own, at in zip(chunks, holes) for k in at})
+        for own, ids, at in zip(chunks, found, holes):
+            for k in at:
+                ids[k] = new[own[k]]
+        if len(self.ids) < MEMO:
+            self.ids.update(new)
+        return [b"".join(ids) + end for ids in found]
+
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        words = {c: cut_chunk(c) for c in chunks}
+        rare = list(set().union(*words.values()).difference(self.words))
+        ids = dict(zip(rare, self.encoder.encode_raw(rare)))
+        if len(self.words) < WORDS:
+            self.words.update(ids)
+            ids = self.words
+        else:
+            ids |= {w: x for own in words.values() for w in own if (x := self.words.get(w))}
+        return {c: ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own)) for c, own in words.items()}
 
 
 def planes(ids: bytes) -> list[bytes]:
@@ -101,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
 
         for doc_id, text in text_rows(batches):
             waiting.append((doc_id, text or ""))
-            if len(waiting) == 64:
+            if len(waiting) == 128:
                 put()
                 yield from out(size >= PART)
                 if size >= PART:

@@ -170,6 +170,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         for ids, texts in _chunks(text_rows(batches)):
             found = _present(texts, used)
             z = np.bincount(found >> BITS, weights[found & ((1 << BITS) - 1)], len(texts)) + bias
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], ["doc_id", "score"])
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(-z))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], ["doc_id", "score"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, score double")
