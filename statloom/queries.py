@@ -336,7 +336,7 @@ def _summary_sql(quantile: str, skew: str, kurt: str) -> str:
     p AS (SELECT l_returnflag, avg(e * e) AS m2, avg(pow(e, 3)) AS m3, avg(pow(e, 4)) AS m4 FROM d GROUP BY 1),
     b AS (SELECT l_returnflag, count(x) AS n, count(*) - count(x) AS n_missing, avg(x) AS mean, stddev_samp(x) AS sd, var_samp(x) AS variance, min(x) AS lo, max(x) AS hi FROM h GROUP BY 1)
     SELECT l_returnflag, n, n_missing, {r6("mean")} AS mean, {r6("sd")} AS sd, round(variance, 3) + 0.0 AS variance, {r6("lo")} AS min, {r6("q1")} AS q1, {r6("median")} AS median, {r6("q3")} AS q3, {r6("hi")} AS max, {r6("q3 - q1")} AS iqr,
-    {r6(skew)} AS skewness, {r6(kurt)} AS kurtosis, {r6("mode")} AS mode, top AS mode_frequency, modes > 1 AS is_multimodal FROM b JOIN p USING (l_returnflag) JOIN m USING (l_returnflag) JOIN q USING (l_returnflag)"""
+    {r6(skew)} AS skewness, {r6(kurt)} AS kurtosis, CASE WHEN n > 1 AND top = 1 THEN 'nan'::DOUBLE ELSE {r6("mode")} END AS mode, CASE WHEN n > 1 AND top = 1 THEN 0 ELSE top END AS mode_frequency, (n = 1 OR top > 1) AND modes > 1 AS is_multimodal FROM b JOIN p USING (l_returnflag) JOIN m USING (l_returnflag) JOIN q USING (l_returnflag)"""
 
 
 _Q5 = "max(CASE WHEN i = floor(least(greatest(@q * n + 0.5, 1), n)) THEN x END) + (max(@q * n + 0.5) - floor(max(@q * n + 0.5))) * (max(CASE WHEN i = ceil(least(greatest(@q * n + 0.5, 1), n)) THEN x END) - max(CASE WHEN i = floor(least(greatest(@q * n + 0.5, 1), n)) THEN x END))"
