@@ -5,8 +5,13 @@ run, the first occurrence over the corpus is the one in the smallest doc_id, the
 is a repeat, and each sentence that a repeat covers is removed. Repeats within a document are known without a shuffle;
 the others are found by a count and a minimum per hash, joined back to the occurrences.
 
+A repeated passage need not begin and end with sentences. So windows of ``SPAN`` words across sentences are spans too, if
+``LONG`` or more of their words are in one sentence; of any ``STEP`` windows in a row, the one of smallest hash is kept.
+Every repeat of SPAN + STEP - 1 such words has a window, at most STEP - 1 words from either end of it, and the words of
+repeated windows are removed. Where sentences are shorter, runs leave less than LONG words at either end of a passage.
+
 A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line break. Runs of fewer than ``min_words``
-words are no evidence of copying and are left alone.
+words are no evidence of copying and are left alone; so is a window that overlaps its own last place in the document.
 
 Defined results: null text has no sentence and stays null; a document of fewer than ``width`` sentences has no run;
 rows without a doc_id are neither compared nor changed; rows that repeat a doc_id count as one document.
@@ -27,6 +32,8 @@ from pyspark.sql import types as T
 from statloom.llm.common import documents_of, free, text_rows, trim, written
 
 WIDTH, MIN_WORDS = 2, 10
+SPAN, LONG, STEP = 20, 13, 10
+_WORD = re.compile(r"\s*\S+\s*")
 _CUT = re.compile(r"((?<=[.!?])[^\S\n]+|\s*\n\s*)")
 
 
@@ -37,18 +44,57 @@ def sentences(text: str) -> list[str]:
     return [x for x in out if x]
 
 
+def windows(words: list[list[str]]) -> list[tuple[int, bytes]]:
+    """(-1 - place of the first word, 16-byte hash) of each window kept, of the words of sentences."""
+    ends = np.cumsum([len(x) for x in words]).tolist()
+    if not ends or ends[-1] < SPAN or max(map(len, words)) < LONG:
+        return []
+    flat = [w for x in words for w in x]
+    usable = np.zeros(len(flat) - SPAN + 1, bool)
+    for own, end in zip(words, ends):
+        if len(own) >= LONG:
+            usable[max(0, end - len(own) - SPAN + LONG) : end - LONG + 1] = True
+    if not usable.any():
+        return []
+    h, factor, size = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat)), 0x9E3779B97F4A7C15, 1
+    sums, total, done = h, None, 0
+    while True:  # sums of 1, 2, 4, ... words put together to SPAN
+        if SPAN & size:
+            total = sums if total is None else total[: len(flat) - done - size + 1] * np.uint64(pow(factor, size, 1 << 64)) + sums[done:]
+            done += size
+        if done == SPAN:
+            break
+        sums = sums[:-size] * np.uint64(pow(factor, size, 1 << 64)) + sums[size:]
+        size *= 2
+    total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    total ^= total >> np.uint64(32)
+    step = min(STEP, len(total))
+    kept = np.unique(np.lib.stride_tricks.sliding_window_view(total, step).argmin(axis=1) + np.arange(len(total) - step + 1))
+    out, last = [], {}
+    for i in kept[usable[kept]].tolist():
+        key = xxhash.xxh3_128_digest(" ".join(flat[i : i + SPAN]))
+        if i - last.get(key, -SPAN) >= SPAN:
+            out.append((-1 - i, key))
+        last[key] = i
+    return out
+
+
 def runs(text: str | None, width: int = WIDTH, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, bytes]], int]:
-    """(position of the first sentence, 16-byte hash) of each run, and the number of sentences. Blank sentences are in no run."""
+    """(position of the first sentence, 16-byte hash) of each run, and the number of sentences. Blank sentences are in no run.
+
+    Windows follow, with negative positions.
+    """
     cut = sentences(text or "")
     words = [x.lower().split() for x in cut]
     real = [i for i, w in enumerate(words) if w]
     keys = [" ".join(words[i]) for i in real]
     size = [len(words[i]) for i in real]
-    return [(k, xxhash.xxh3_128_digest("\n".join(keys[k : k + width]))) for k in range(len(real) - width + 1) if sum(size[k : k + width]) >= min_words], len(cut)
+    found = [(k, xxhash.xxh3_128_digest("\n".join(keys[k : k + width]))) for k in range(len(real) - width + 1) if sum(size[k : k + width]) >= min_words]
+    return found + windows([words[i] for i in real]), len(cut)
 
 
 def occurrences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2, doc_id, pos, again: each run; ``again`` if the document had it before. pos counts non-blank sentences."""
+    """h1, h2, doc_id, pos, again: each run; ``again`` if the document had it before. pos counts non-blank sentences, or words as windows() does."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, places, again = [], [], [], []
@@ -74,7 +120,7 @@ def occurrences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, places: the first sentences of all runs of the document that are not the first of the corpus."""
+    """doc_id, places: the positions of all runs and windows of the document that are not the first of the corpus."""
     found = written(occurrences(docs, width, min_words))
     first = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h1", "h2", "first")
     there = found.where("not again").join(first, ["h1", "h2"]).where("doc_id != first").select("doc_id", "pos")
@@ -83,11 +129,19 @@ def repeats(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) ->
 
 
 def cleaned(text: str, places: list[int], width: int = WIDTH) -> tuple[str, int, int]:
-    """The text without the sentences that runs at ``places`` cover, the number of sentences, and of those removed."""
+    """The text without what runs and windows at ``places`` cover, the number of sentences, and of those removed, in whole or in part."""
     cut = sentences(text)
     real = [i for i, x in enumerate(cut) if x.strip()]
-    gone = {real[p + j] for p in places for j in range(width) if p + j < len(real)}
-    return "".join(x for i, x in enumerate(cut) if i not in gone), len(real), len(gone)
+    gone = {real[p + j] for p in places for j in range(width) if 0 <= p and p + j < len(real)}
+    covered = {-1 - p + j for p in places if p < 0 for j in range(SPAN)}
+    parts, at = {}, 0
+    for i in real if covered else ():
+        pieces = _WORD.findall(cut[i])
+        left = [x for k, x in enumerate(pieces, at) if k not in covered]
+        at += len(pieces)
+        if len(left) < len(pieces) and i not in gone:
+            parts[i] = "".join(left)
+    return "".join(parts.get(i, x) for i, x in enumerate(cut) if i not in gone), len(real), len(gone) + len(parts)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
