@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import documents_of, text_rows, written
 
-BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5), 1.0, 5.0, 8_000, 1 << 19
+BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5), 1.0, 4.0, 12_000, 1 << 19
 _LANES = 1 << 16
 
 
@@ -113,21 +113,37 @@ def ratios(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.sign(r) * np.maximum(np.abs(r) - Z * np.sqrt(1 / p + 1 / q), 0)
 
 
-def _regress(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, penalty: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps on features scaled to a common curvature."""
-    total = weight.sum()
-    scale = 1 / np.sqrt(np.bincount(cols, weight[rows] * x * x, width) / total + 1e-3)
-    x = x * scale[cols]
+def _regress(cols: np.ndarray, sizes: np.ndarray, r: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 150, block: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by accelerated gradient steps on features scaled to a common curvature.
+
+    ``cols`` are the features of all rows end to end, ``sizes`` of each. A feature is r where it occurs, so its column
+    alone says its value; gradients add up over blocks of rows, and only ``cols`` is held for the whole.
+    """
+    total, width, ends = weight.sum(), len(r), np.cumsum(sizes)
+    cut = np.unique(np.r_[0, np.searchsorted(ends, np.arange(block, int(sizes.sum()), block)), len(y)])
+    blocks = [(slice(i, j), cols[ends[i] - sizes[i] : ends[j - 1]]) for i, j in zip(cut[:-1], cut[1:])]
+    heavy, often = np.zeros(width), np.zeros(width)
+    for rows, own in blocks:
+        heavy += np.bincount(own, np.repeat(weight[rows], sizes[rows]), width)
+        often += np.bincount(own, minlength=width)
+    scale = 1 / np.sqrt(heavy * r * r / total + 1e-3)
+    x = r * scale
     share = (weight * y).sum() / total
     w, b = np.zeros(width), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    rate = 4 / (1 + np.bincount(rows, x * x, len(y)).mean())
+    rate = 4 / (1 + (often * x * x).sum() / len(y))
     back, back_b = w, b
     for k in range(1, steps + 1):
         v, c = w + (k - 1) / (k + 2) * (w - back), b + (k - 1) / (k + 2) * (b - back_b)
         back, back_b = w, b
-        e = weight * (1 / (1 + np.exp(-np.clip(np.bincount(rows, x * v[cols], len(y)) + c, -40, 40))) - y) / total
-        w = v - rate * (np.bincount(cols, e[rows] * x, width) + penalty * v / total)
-        b = c - rate * e.sum()
+        xv, slope, slope_b = x * v, np.zeros(width), 0.0
+        for rows, own in blocks:
+            n = sizes[rows]
+            z = np.bincount(np.repeat(np.arange(len(n)), n), xv[own], len(n)) + c
+            e = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / total
+            slope += np.bincount(own, np.repeat(e, n), width)
+            slope_b += e.sum()
+        w = v - rate * (slope * x + penalty * v / total)
+        b = c - rate * slope_b
     return w * scale, b
 
 
@@ -150,12 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: i
                 places = number[found & ((1 << BITS) - 1)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in own], pa.int32()), pa.array([w[i] for i in own], pa.float64()), pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["y", "weight", "places"])
 
-    got = rows.select("toxic", "weight", "text").mapInArrow(features, "y int, weight double, places binary").collect()
-    got.sort(key=lambda g: (g.y, bytes(g.places)))  # the order of rows must not change the sums
-    places = [np.frombuffer(g.places, np.int32) for g in got]
-    cols = np.concatenate(places)
-    where = np.repeat(np.arange(len(got)), [len(x) for x in places])
-    factors, bias = _regress(where, cols, r[used][cols], np.array([g.y for g in got], float), np.array([g.weight for g in got]), int(used.sum()))
+    # a partition at a time: the driver's JVM never holds all rows
+    got = [(g.y, bytes(g.places), g.weight) for g in rows.select("toxic", "weight", "text").mapInArrow(features, "y int, weight double, places binary").toLocalIterator(prefetchPartitions=True)]
+    got.sort()  # the order of rows must not change the sums
+    y, weight, sizes = np.array([g[0] for g in got], float), np.array([g[2] for g in got]), np.array([len(g[1]) // 4 for g in got])
+    cols = np.frombuffer(b"".join([g[1] for g in got]), np.int32)
+    del got
+    factors, bias = _regress(cols, sizes, r[used], y, weight)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = r[used] * factors
     return weights, bias

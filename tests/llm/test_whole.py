@@ -1,8 +1,11 @@
 """The whole job: cases that a shorter form of an operator left out."""
 
 import random
+import tracemalloc
 
-from statloom.llm import substring
+import numpy as np
+
+from statloom.llm import substring, toxicity
 
 
 def test_passage_within_sentences(spark):
@@ -21,3 +24,18 @@ def test_passage_within_sentences(spark):
     own = [w for w in texts[2].split() if w.replace(".", "") not in held]
     assert [w for w in got[2].text.split() if w.replace(".", "") not in held] == own
     assert substring.windows([["a", "b", "c"] * 200])[1:] == []  # periodic text is no passage
+
+
+def test_toxic_evidence():
+    """An n-gram of 10 toxic texts and no other has a weight; the regression holds little beside the features."""
+    counts = np.zeros((2, 3), np.int32)
+    counts[1] = 10, 2, 0
+    assert (toxicity.ratios(counts, np.array([2803, 352])) != 0).tolist() == [True, False, False] and toxicity.MOST >= 12_000
+    rng = np.random.default_rng(1)
+    sizes, width = np.full(6000, 1000), 5000
+    cols, y = rng.integers(0, width, sizes.sum()).astype(np.int32), (np.arange(6000) % 2).astype(float)
+    tracemalloc.start()
+    toxicity._regress(cols, sizes, np.ones(width), y, np.ones(6000), steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * cols.nbytes
