@@ -62,7 +62,7 @@ class Memo:
             self.words.update(ids)
             ids = self.words
         else:
-            ids |= {w: x for own in words.values() for w in own if (x := self.words.get(w))}
+            ids |= {w: x for own in words.values() for w in own if (x := self.words.get(w)) is not None}
         return {c: ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own)) for c, own in words.items()}
 
 

@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from statloom.llm import substring, toxicity
+from statloom.llm import queries, substring, tokenfile, toxicity
 
 
 def test_passage_within_sentences(spark):
@@ -39,3 +39,16 @@ def test_toxic_evidence():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2 * cols.nbytes
+
+
+def test_full_caps_and_chunks_without_ids(monkeypatch):
+    """A chunk of white space that has no ids, first met with room for words only and again when they are full too."""
+    with open(queries.tokenizer_file(), encoding="utf-8") as f:
+        definition = f.read()
+    blank = "one \u00a0 two \u2003 \u3000 six"
+    want = tokenfile.Memo(definition).encode([blank, "three four", blank], b"")
+    monkeypatch.setattr(tokenfile, "MEMO", 0)
+    monkeypatch.setattr(tokenfile, "WORDS", 5)
+    memo = tokenfile.Memo(definition)
+    assert [memo.encode([x], b"")[0] for x in (blank, "three four", blank)] == want
+    assert len(memo.words) >= 5 and b"" in memo.words.values()
