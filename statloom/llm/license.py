@@ -7,7 +7,8 @@ of this module, a few dozen, looked up in a constant map. Only documents with on
 has are taken apart; that skips nothing that could match.
 
 Sentences end at a line break, or after ``.``, ``;``, ``:``, ``!`` or ``?`` before white space. Notices are often
-wrapped: if more known sentences are found with line breaks read as blanks, those count.
+wrapped: if more known sentences are found with line breaks read as blanks, those count;
+blank lines end a sentence in either reading.
 
 Defined results: null text has no sentence; repeated sentences keep each place; repeated rows are scanned each, a null
 doc_id included.
@@ -78,11 +79,19 @@ def normal(text: str) -> str:
     return re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", text.lower()).strip()
 
 
+def key(text: str) -> str:
+    """The normal form by which a known sentence is found in a text: of the longest piece that ENDS makes of it."""
+    low = text.lower()
+    for pattern, to in ENDS:
+        low = re.sub(pattern, to.replace("$", "\\"), low)
+    return max(map(normal, low.split("\n")), key=len)
+
+
 def _ids(low: Column) -> Column:
     for pattern, to in ENDS:
         low = F.regexp_replace(low, pattern, to)
     forms = F.transform(F.split(low, "\n"), lambda x: F.trim(F.regexp_replace(x, _ODD, " ")))
-    table = F.create_map(*[F.lit(x) for name, all_ in SENTENCES.items() for s in all_ for x in (normal(s), name)])
+    table = F.create_map(*[F.lit(x) for name, all_ in SENTENCES.items() for s in all_ for x in (key(s), name)])
     return F.filter(F.transform(forms, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
 
 
@@ -91,8 +100,9 @@ def scan(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     low = F.lower("text")
     some = F.coalesce(F.greatest(*[F.contains(low, F.lit(s)) for s in STEMS]), F.lit(False))
+    unwrapped = F.translate(F.regexp_replace(low, r"\n[ \t\r]*\n", "\x01"), "\n\x01", " \n")
     none = F.array().cast("array<string>")
-    cut = plain.select("doc_id", F.when(some, _ids(low)).otherwise(none).alias("a"), F.when(some, _ids(F.translate(low, "\n", " "))).otherwise(none).alias("b"))
+    cut = plain.select("doc_id", F.when(some, _ids(low)).otherwise(none).alias("a"), F.when(some, _ids(unwrapped)).otherwise(none).alias("b"))
     found = cut.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"))
     row = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
     held = [F.when(F.col("row").rlike(r"\|" + r"\|(.*\|)?".join(seq) + r"\|"), F.lit(name)) for name, seq in RULES]

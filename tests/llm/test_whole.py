@@ -1,11 +1,12 @@
 """The whole job: cases that a shorter form of an operator left out."""
 
 import random
+import textwrap
 import tracemalloc
 
 import numpy as np
 
-from statloom.llm import queries, substring, tokenfile, toxicity
+from statloom.llm import license, queries, substring, tokenfile, toxicity
 
 
 def test_passage_within_sentences(spark):
@@ -52,3 +53,12 @@ def test_full_caps_and_chunks_without_ids(monkeypatch):
     memo = tokenfile.Memo(definition)
     assert [memo.encode([x], b"")[0] for x in (blank, "three four", blank)] == want
     assert len(memo.words) >= 5 and b"" in memo.words.values()
+
+
+def test_whole_notices(spark):
+    """The usual wrapped MIT file and GPL-3 header."""
+    fill = lambda name: textwrap.fill(license.SENTENCES[name][0], 76)
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\n" + fill("mit-grant") + ":\n\n" + fill("mit-notice") + "\n\n" + fill("as-is") + "\n"
+    gpl = fill("gpl-grant-3") + "\n\n" + fill("gpl-warranty") + "; without even the implied warranty.\n"
+    got = {r.doc_id: (r.ids, r.licenses) for r in license.scan(spark.createDataFrame([(1, mit), (2, gpl)], "doc_id long, text string")).collect()}
+    assert got == {1: (["mit-grant", "mit-notice", "as-is"], ["MIT"]), 2: (["gpl-grant-3", "gpl-warranty"], ["GPL-3.0"])}
