@@ -1,20 +1,26 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``width`` consecutive sentences is hashed (128 bits) over its words, lower case, punctuation kept. Of each
-run, the first occurrence over the corpus is the one in the smallest doc_id, there the earliest; every other occurrence
-is a repeat, and each sentence that a repeat covers is removed. Repeats within a document are known without a shuffle;
-the others are found by a count and a minimum per hash, joined back to the occurrences.
+A run begins at each sentence and takes as many sentences as it needs: ``width`` at least, and more until it has
+``min_words`` words, so no sentence is too short to be in one. Every run is hashed (128 bits) over its words, lower case,
+punctuation kept. Of each run, the first occurrence over the corpus is the one in the smallest doc_id, there the
+earliest; every other occurrence is a repeat, and each sentence that a repeat covers is removed.
 
 A repeated passage need not begin and end with sentences. So windows of ``SPAN`` words across sentences are spans too, if
 ``LONG`` or more of their words are in one sentence; of any ``STEP`` windows in a row, the one of smallest hash is kept.
 Every repeat of SPAN + STEP - 1 such words has a window, at most STEP - 1 words from either end of it, and the words of
 repeated windows are removed. Where sentences are shorter, runs leave less than LONG words at either end of a passage.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line break. Runs of fewer than ``min_words``
-words are no evidence of copying and are left alone; so is a window that overlaps its own last place in the document.
+Spans are shuffled once, by hash, for the smallest doc_id of each. Before that, a task compares the spans of CHUNK at a
+time: what stands in a larger doc_id than another of the same hash, or again in its document, is known to repeat and goes
+by doc_id, not by hash. So a span that all documents hold is one row of its hash for each chunk, not for each document.
+
+A sentence ends after ``.``, ``!`` or ``?`` before white space, after the full stops of Chinese and Japanese, or at a line
+break. In scripts without blanks two characters count as a word. Only what has fewer than ``min_words`` words up to the
+end of its document is no run; a window that overlaps its own last place in the document is none.
 
 Defined results: null text has no sentence and stays null; a document of fewer than ``width`` sentences has no run;
-rows without a doc_id are neither compared nor changed; rows that repeat a doc_id count as one document.
+rows without a doc_id are neither compared nor changed; rows that repeat a doc_id count as one document; a text of any
+length is cut whole, by one task.
 """
 
 from __future__ import annotations
@@ -25,16 +31,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import documents_of, free, text_rows, trim, written
+from statloom.llm.common import documents_of, free, text_rows, trim
 
-WIDTH, MIN_WORDS = 2, 10
-SPAN, LONG, STEP = 20, 13, 10
+WIDTH, MIN_WORDS = 3, 10
+SPAN, LONG, STEP, CHUNK = 20, 13, 10, 200_000
 _WORD = re.compile(r"\s*\S+\s*")
-_CUT = re.compile(r"((?<=[.!?])[^\S\n]+|\s*\n\s*)")
+_CUT = re.compile(r"((?<=[.!?])[^\S\n]+|\s*\n\s*|(?<=[。！？｡])(?=[^\s。！？｡]))")
+_DENSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def sentences(text: str) -> list[str]:
@@ -79,60 +86,79 @@ def windows(words: list[list[str]]) -> list[tuple[int, bytes]]:
     return out
 
 
+def ends(words: list[list[str]], width: int = WIDTH, min_words: int = MIN_WORDS) -> list[int]:
+    """Where the run that begins at each of the sentences ends; those that begin later have too few words left."""
+    size = [len(w) if all(map(str.isascii, w)) else max(len(w), len(_DENSE.findall("".join(w))) // 2) for w in words]
+    before, out, j = [0, *np.cumsum(size).tolist()], [], 0
+    for i in range(len(words) - width + 1):
+        j = max(j, i + width)
+        while j < len(words) and before[j] - before[i] < min_words:
+            j += 1
+        if before[j] - before[i] < min_words:
+            break
+        out.append(j)
+    return out
+
+
 def runs(text: str | None, width: int = WIDTH, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, bytes]], int]:
     """(position of the first sentence, 16-byte hash) of each run, and the number of sentences. Blank sentences are in no run.
 
     Windows follow, with negative positions.
     """
     cut = sentences(text or "")
-    words = [x.lower().split() for x in cut]
-    real = [i for i, w in enumerate(words) if w]
-    keys = [" ".join(words[i]) for i in real]
-    size = [len(words[i]) for i in real]
-    found = [(k, xxhash.xxh3_128_digest("\n".join(keys[k : k + width]))) for k in range(len(real) - width + 1) if sum(size[k : k + width]) >= min_words]
-    return found + windows([words[i] for i in real]), len(cut)
+    words = [w for x in cut if (w := x.lower().split())]
+    keys = list(map(" ".join, words))
+    found = [(k, xxhash.xxh3_128_digest("\n".join(keys[k:j]))) for k, j in enumerate(ends(words, width, min_words))]
+    return found + windows(words), len(cut)
 
 
 def occurrences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2, doc_id, pos, again: each run; ``again`` if the document had it before. pos counts non-blank sentences, or words as windows() does."""
+    """h1, h2, doc_id, pos, sure: each run and window; ``sure`` if it is known to repeat one, and then h1 and h2 only spread the rows.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, places, again = [], [], [], []
+    pos counts non-blank sentences, or words as windows() does.
+    """
 
-        def out() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(again, pa.bool_())]
-            return pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "pos", "again"])
+    def told(hashes: list[bytes], ids: list[int], places: list[int], again: list[bool]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2).copy()
+        doc, pos, sure = np.array(ids, np.int64), np.array(places, np.int32), np.array(again, bool)
+        order = np.lexsort((doc, h[:, 1], h[:, 0]))
+        new = np.r_[True, (np.diff(h[order], axis=0) != 0).any(axis=1)]
+        least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        sure[order] |= doc[order] != least
+        h[sure, 0], h[sure, 1] = doc[sure] * 0x9E3779B1, pos[sure]
+        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc), pa.array(pos), pa.array(sure)], ["h1", "h2", "doc_id", "pos", "sure"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ids, places, again = [], [], [], []
         for doc_id, text in text_rows(batches):
             seen = set()
             for pos, h in runs(text, width, min_words)[0]:
                 hashes.append(h), ids.append(doc_id), places.append(pos), again.append(h in seen)
                 seen.add(h)
-            if len(ids) > 20_000:
-                yield out()
+            if len(ids) > CHUNK:
+                yield told(hashes, ids, places, again)
                 hashes, ids, places, again = [], [], [], []
         if ids:
-            yield out()
+            yield told(hashes, ids, places, again)
         trim()
 
-    return documents_of(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "h1 long, h2 long, doc_id long, pos int, again boolean")
+    return documents_of(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "h1 long, h2 long, doc_id long, pos int, sure boolean")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, places: the positions of all runs and windows of the document that are not the first of the corpus."""
-    found = written(occurrences(docs, width, min_words))
-    first = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h1", "h2", "first")
-    there = found.where("not again").join(first, ["h1", "h2"]).where("doc_id != first").select("doc_id", "pos")
-    # a later occurrence within a document repeats its earlier one, whether that is the corpus's first or not
-    return there.unionByName(found.where("again").select("doc_id", "pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    first = F.min(F.when(~F.col("sure"), F.col("doc_id"))).over(Window.partitionBy("h1", "h2"))
+    found = occurrences(docs, width, min_words).withColumn("first", first).where("sure OR doc_id > first")
+    return found.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def cleaned(text: str, places: list[int], width: int = WIDTH) -> tuple[str, int, int]:
+def cleaned(text: str, places: list[int], width: int = WIDTH, min_words: int = MIN_WORDS) -> tuple[str, int, int]:
     """The text without what runs and windows at ``places`` cover, the number of sentences, and of those removed, in whole or in part."""
     cut = sentences(text)
     real = [i for i, x in enumerate(cut) if x.strip()]
-    gone = {real[p + j] for p in places for j in range(width) if 0 <= p and p + j < len(real)}
+    stop = ends([cut[i].split() for i in real], width, min_words) if places else []
+    # a place without a run is of another row of this doc_id
+    gone = {real[j] for p in places if 0 <= p < len(stop) for j in range(p, stop[p])}
     covered = {-1 - p + j for p in places if p < 0 for j in range(SPAN)}
     parts, at = {}, 0
     for i in real if covered else ():
@@ -158,7 +184,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> Da
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                got = [(t, 0, 0) if t is None else cleaned(t, p or [], width) for t, p in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
+                got = [(t, 0, 0) if t is None else cleaned(t, p or [], width, min_words) for t, p in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
                 cols = list(part.columns[:-1])
                 cols[at] = pa.array([x[0] for x in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names)

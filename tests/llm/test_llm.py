@@ -98,24 +98,59 @@ def test_simhash_links(spark, hot, monkeypatch):
     assert {v: found.get(v, v) for v in signed} == root
 
 
-def test_substring(odd):
-    rows = [(i, t) for i, t in rows_of(odd) if i is not None and t is not None]
-    first: dict = {}
-    for i, t in sorted(set(rows)):
-        for pos, h in substring.runs(t)[0]:
-            first.setdefault(h, (i, pos))
-    got = {r.doc_id: r for r in substring.dedup(odd).where("doc_id IS NOT NULL").collect()}
+def plain_sentences(text):
+    """Lists of words; a sentence ends behind a word with .!? at its end or a line break after it."""
+    out = [[]]
+    for word, blank in re.findall(r"(\S+)(\s*)", text):
+        out[-1].append(word)
+        if blank and ("\n" in blank or word[-1] in ".!?"):
+            out.append([])
+    return [x for x in out if x]
+
+
+def plain_dedup(rows):
+    """(doc_id, words left, sentences removed) of each row, by runs of sentences alone."""
+    spans: dict = {}
+    own = []
     for i, t in rows:
-        gone = {p + j for p, h in substring.runs(t)[0] if first[h] != (i, p) for j in range(substring.WIDTH)}
-        real = [s for s in substring.sentences(t) if s.strip()]
-        assert got[i].n_removed == len(gone) and got[i].text.split() == " ".join(s for k, s in enumerate(real) if k not in gone).split()
-    assert got[0].text is None and got[15].n_removed == len([s for s in substring.sentences(got[12].text) if s.strip()])
+        cut, found = plain_sentences(t), []
+        for a in range(len(cut)):
+            for b in range(a + substring.WIDTH, len(cut) + 1):
+                if sum(map(len, cut[a:b])) >= 10:
+                    found.append((a, b, tuple(" ".join(x).lower() for x in cut[a:b])))
+                    break
+        own.append((i, cut, found))
+        for a, _, x in found:
+            spans[x] = min(spans.get(x, (i, a)), (i, a))
+    for i, cut, found in own:
+        gone = {k for a, b, x in found if spans[x] != (i, a) for k in range(a, b)}
+        yield i, [w for k, x in enumerate(cut) if k not in gone for w in x], len(gone)
+
+
+@pytest.mark.parametrize("chunk", [200_000, 40])
+def test_substring(odd, chunk, monkeypatch):
+    """No sentence here is long enough for a window, but for one that is periodic."""
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    rows = [(i, t) for i, t in rows_of(odd) if i is not None and t is not None]
+    got = sorted((r.doc_id, r.text.split(), r.n_removed) for r in substring.dedup(odd).where("doc_id IS NOT NULL AND text IS NOT NULL").collect())
+    assert got == sorted(plain_dedup(rows)) and sum(n for *_, n in got) > 40
     assert "".join(substring.sentences("A b. C d!  E\n\nf 1.5 g?")) == "A b. C d!  E\n\nf 1.5 g?"
-    assert len(got) == len({i for i, _ in rows}) + 1 and substring.dedup(odd).count() == odd.count()
+    assert [len(x) for x in substring.sentences("一二。三四！五\n六")] == [3, 3, 2, 1]
+    assert substring.dedup(odd).count() == odd.count() and substring.dedup(odd).where("doc_id = 0").first().text is None
     untouched = substring.dedup(odd).where("doc_id IS NULL AND text IS NOT NULL").first()
     assert untouched.n_removed == 0
 
 
+def test_short_sentences_repeat(spark):
+    """Runs of very short sentences, a hot line, and lines in a script without blanks."""
+    short = " ".join(f"{w}!" for w in WORDS)
+    han = "\n".join(["春眠不覚暁処処聞啼鳥", "夜来風雨声花落知多少", "床前明月光疑是地上霜"])
+    own = [f"{prose(random.Random(i), 30)} That was number {i}." for i in range(60)]
+    rows = [(i, f"{x}\n{short}\n{han}") for i, x in enumerate(own)]
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got[0].n_removed == 0 and all(got[i].text.strip() == own[i] for i in range(1, 60))
+
+
 def test_suffix(odd):
     rows, first, got = rows_of(odd), {}, {}
     for r in suffix.remove_repeats(odd).collect():
