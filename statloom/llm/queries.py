@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rest = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), rest != 0))
-    return found.select("doc_id", (rest == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rest = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3
     found = langid.predict(docs, langid.fit(docs, rest != 1))
-    return found.select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,22 @@
 """Toxicity: a linear classifier over character n-grams, each feature scaled by its naive Bayes log-count ratio.
 
-Features are whether a 3-, 4- or 5-gram of characters of the lower-cased text occurs, hashed to 2**20 places. A feature's
+Features are whether an n-gram of 3 to 6 characters of the lower-cased text occurs, hashed to 2**20 places. A feature's
 scale is the log of the ratio of its smoothed document frequencies in toxic and other texts, shrunk towards zero by
 ``Z`` standard errors of it, so that n-grams without evidence have no weight at all. Logistic regression with a quadratic
-penalty finds a factor for each scaled feature.
+penalty finds a factor for each scaled feature. Both classes weigh the same in it, however few texts are toxic.
 
 The classifier learns from a bounded sample of labelled rows: at most ``MOST`` of either class, those of smallest hash of
-doc_id, equal texts once; rows are weighted back to the classes' shares. Scores cover every whole text.
+doc_id, equal texts once. Their features are written to the shared folder; each step of the regression sums gradients
+where the rows are, and the driver holds counts and weights only. Scores cover every whole text.
 
 Defined results: null text is empty and scores as such; a doc_id with both labels is toxic; null labels teach nothing;
 without any labelled text all scores are 0, with one class they are its smoothed share; null doc_id and repeated rows
-are scored each.
+are scored each; an empty table has no scores; long texts are gone over in pieces that overlap by an n-gram.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,19 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import documents_of, text_rows, written
 
-BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5), 1.0, 4.0, 12_000, 1 << 19
+BITS, SIZES, ALPHA, Z, MOST, CHUNK = 20, (3, 4, 5, 6), 1.0, 4.0, 12_000, 1 << 19
 _LANES = 1 << 16
 
 
 def _places(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n, the place of the n-gram at each position of the texts laid end to end, and where texts begin.
+    """For each n, the place of the n-gram at each position of the lower-case texts laid end to end, and where texts begin.
 
     Texts are parted by as many zeros as no n-gram spans.
     """
     gap = "\0" * max(SIZES)
-    laid = gap.join([x.lower() for x in texts]) + gap
+    laid = gap.join(texts) + gap
     a = np.frombuffer(laid.encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.cumsum([0] + [len(x.lower()) + len(gap) for x in texts[:-1]])
+    starts = np.cumsum([0] + [len(x) + len(gap) for x in texts[:-1]])
     h = a * np.uint32(0x01000193)
     for n in range(2, max(SIZES) + 1):
         h = (h[:-1] + a[n - 1 :]) * np.uint32(0x01000193) ^ (h[:-1] >> np.uint32(15))
@@ -56,29 +57,45 @@ def _chunks(rows: Iterable[tuple[int | None, str | None]]) -> Iterator[tuple[lis
         yield keys, texts
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in lower case, those longer than CHUNK in overlapping pieces, about CHUNK characters at a time; and the row of each."""
+    rows, held, size = [], [], 0
+    for row, text in enumerate(texts):
+        low = text.lower()
+        for i in range(0, max(1, len(low)), CHUNK):
+            rows.append(row), held.append(low[i : i + CHUNK + max(SIZES) - 1])
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield rows, held
+                rows, held, size = [], [], 0
+    if rows:
+        yield rows, held
+
+
 def _present(texts: list[str], used: np.ndarray | None) -> np.ndarray:
     """row * 2**BITS + place of each feature that occurs in each text, once; of places that are ``used`` if that is given."""
-    found = []
-    for places, starts in _places(texts):
-        at = np.arange(len(places)) if used is None else np.flatnonzero(used[places])
-        found.append((np.searchsorted(starts, at, "right") - 1 << BITS) | places[at].astype(np.int64))
-    return np.unique(np.concatenate(found))
+    found = [np.zeros(0, np.int64)]
+    for rows, held in _pieces(texts):
+        own, row = [], np.array(rows, np.int64)
+        for places, starts in _places(held):
+            at = np.arange(len(places)) if used is None else np.flatnonzero(used[places])
+            own.append((row[np.searchsorted(starts, at, "right") - 1] << BITS) | places[at].astype(np.int64))
+        found.append(np.unique(np.concatenate(own)))
+    return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column | None, most: int = MOST) -> DataFrame:
-    """toxic, weight, text: the rows learned from. ``learn`` is a condition on the labels' doc_id."""
+    """toxic, text, h: the rows learned from, with a hash of their text. ``learn`` is a condition on the labels' doc_id."""
     named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     named = (named if learn is None else named.where(learn)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = {r.toxic: r["count"] for r in named.groupBy("toxic").count().collect()}
     picked = None
     for c in (0, 1):
         own = named.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(most)
-        own = own.withColumn("weight", F.lit(total.get(c, 0) / max(1, min(most, total.get(c, 0)))))
         picked = own if picked is None else picked.unionByName(own)
-    # at most 2 * most rows of three numbers
+    # at most 2 * most rows of two numbers
     plain = documents_of(docs)
-    rows = plain.join(F.broadcast(picked), plain.doc_id == picked.id).select("toxic", "weight", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).drop("h")
+    rows = plain.join(F.broadcast(picked), plain.doc_id == picked.id).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"])
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,41 +130,65 @@ def ratios(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.sign(r) * np.maximum(np.abs(r) - Z * np.sqrt(1 / p + 1 / q), 0)
 
 
-def _regress(cols: np.ndarray, sizes: np.ndarray, r: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 150, block: int = 1 << 20) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps on features scaled to a common curvature.
+def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 40, memory: int = 8, tolerance: float = 1e-5) -> np.ndarray:
+    """A minimum of a smooth convex function by L-BFGS. ``value`` gives the function and its gradient."""
+    f, g = value(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < tolerance:
+            break
+        way, told = g.copy(), []
+        for s, y in reversed(moves):
+            a = (s @ way) / (s @ y)
+            told.append(a)
+            way -= a * y
+        way *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, np.abs(g).sum())
+        for (s, y), a in zip(moves, reversed(told)):
+            way += s * (a - (y @ way) / (s @ y))
+        rate, drop = 1.0, way @ g
+        while rate > 1e-6:
+            to = x - rate * way
+            f_to, g_to = value(to)
+            if f_to <= f - 1e-4 * rate * drop:
+                break
+            rate /= 2
+        else:
+            break
+        if (to - x) @ (g_to - g) > 1e-12:
+            moves = [*moves, (to - x, g_to - g)][-memory:]
+        done = f - f_to < 1e-9 * max(1.0, abs(f))
+        x, f, g = to, f_to, g_to
+        if done:
+            break
+    return x
+
+
+def _gradient(rows: DataFrame, x: np.ndarray, v: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """The logistic loss of the rows and its gradient, at factors v[:-1] of features worth ``x`` and bias v[-1]; a row of class c weighs share[c]."""
+    xv, width = x * v[:-1], len(x)
 
-    ``cols`` are the features of all rows end to end, ``sizes`` of each. A feature is r where it occurs, so its column
-    alone says its value; gradients add up over blocks of rows, and only ``cols`` is held for the whole.
-    """
-    total, width, ends = weight.sum(), len(r), np.cumsum(sizes)
-    cut = np.unique(np.r_[0, np.searchsorted(ends, np.arange(block, int(sizes.sum()), block)), len(y)])
-    blocks = [(slice(i, j), cols[ends[i] - sizes[i] : ends[j - 1]]) for i, j in zip(cut[:-1], cut[1:])]
-    heavy, often = np.zeros(width), np.zeros(width)
-    for rows, own in blocks:
-        heavy += np.bincount(own, np.repeat(weight[rows], sizes[rows]), width)
-        often += np.bincount(own, minlength=width)
-    scale = 1 / np.sqrt(heavy * r * r / total + 1e-3)
-    x = r * scale
-    share = (weight * y).sum() / total
-    w, b = np.zeros(width), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    rate = 4 / (1 + (often * x * x).sum() / len(y))
-    back, back_b = w, b
-    for k in range(1, steps + 1):
-        v, c = w + (k - 1) / (k + 2) * (w - back), b + (k - 1) / (k + 2) * (b - back_b)
-        back, back_b = w, b
-        xv, slope, slope_b = x * v, np.zeros(width), 0.0
-        for rows, own in blocks:
-            n = sizes[rows]
-            z = np.bincount(np.repeat(np.arange(len(n)), n), xv[own], len(n)) + c
-            e = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / total
-            slope += np.bincount(own, np.repeat(e, n), width)
-            slope_b += e.sum()
-        w = v - rate * (slope * x + penalty * v / total)
-        b = c - rate * slope_b
-    return w * scale, b
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST) -> tuple[np.ndarray, float]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, loss, slope = None, 0.0, np.zeros(width + 1)
+        for batch in batches:
+            y, places = batch.column(1).to_numpy(), [np.frombuffer(p, np.int32) for p in batch.column(2).to_pylist()]
+            key = batch.column(0)[0].as_py() if key is None and len(y) else key
+            n, own = np.array([len(p) for p in places], np.int64), np.concatenate([*places, np.zeros(0, np.int32)])
+            z = np.bincount(np.repeat(np.arange(len(n)), n), xv[own], len(n)) + v[-1]
+            weight = np.where(y > 0, share[1], share[0])
+            loss += float((weight * (np.logaddexp(0, z) - y * z)).sum())
+            e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+            slope[:-1] += np.bincount(own, np.repeat(e, n), width)
+            slope[-1] += e.sum()
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], ["h", "loss", "slope"])
+
+    got = sorted((r.h, r.loss, bytes(r.slope)) for r in rows.mapInArrow(run, "h long, loss double, slope binary").collect())  # a row a task; the order must not change the sums
+    slope = sum((np.frombuffer(s) for *_, s in got), np.zeros(width + 1))
+    slope[:-1] *= x
+    return sum(f for _, f, _ in got), slope
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """The weight of each place, and the bias."""
     rows = written(sample(docs, labels, learn, most))
     counts, n = _counts(rows)
@@ -159,23 +200,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: i
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, w = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for own, texts in _chunks((i, t) for i, t in enumerate(batch.column(2).to_pylist())):
+            h, y = batch.column(0), batch.column(1)
+            for own, texts in _chunks(enumerate(batch.column(2).to_pylist())):
                 found = _present(texts, used)
                 cut = np.searchsorted(found >> BITS, np.arange(len(texts) + 1))
                 places = number[found & ((1 << BITS) - 1)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in own], pa.int32()), pa.array([w[i] for i in own], pa.float64()), pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["y", "weight", "places"])
-
-    # a partition at a time: the driver's JVM never holds all rows
-    got = [(g.y, bytes(g.places), g.weight) for g in rows.select("toxic", "weight", "text").mapInArrow(features, "y int, weight double, places binary").toLocalIterator(prefetchPartitions=True)]
-    got.sort()  # the order of rows must not change the sums
-    y, weight, sizes = np.array([g[0] for g in got], float), np.array([g[2] for g in got]), np.array([len(g[1]) // 4 for g in got])
-    cols = np.frombuffer(b"".join([g[1] for g in got]), np.int32)
-    del got
-    factors, bias = _regress(cols, sizes, r[used], y, weight)
+                yield pa.RecordBatch.from_arrays([h.take(pa.array(own)), y.take(pa.array(own)), pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["h", "y", "places"])
+
+    parts = max(1, int(n.sum()) // 2000)
+    dealt = rows.select("h", "toxic", "text").repartition(parts, "h").sortWithinPartitions("h", "toxic")
+    found = written(dealt.mapInArrow(features, "h long, y int, places binary"))
+    share = 0.5 / n[0], 0.5 / n[1]
+    # features scaled to a common curvature
+    x = r[used] / np.sqrt((counts[0, used] * share[0] + counts[1, used] * share[1]) * r[used] ** 2 + 1e-3)
+
+    def value(v: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = _gradient(found, x, v, share)
+        slope[:-1] += penalty * v[:-1]
+        return loss + penalty / 2 * float(v[:-1] @ v[:-1]), slope
+
+    v = minimise(value, np.zeros(len(x) + 1))
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = r[used] * factors
-    return weights, bias
+    weights[used] = x * v[:-1]
+    return weights, float(v[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -261,8 +261,8 @@ def test_toxicity(spark, odd):
     held = queries.op3_toxicity(spark, folder).join(labels, "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.toxic for r in held)
     caught = [r.predicted for r in held if r.toxic]
-    # about 350 toxic rows to learn from, 20 or 30 in some languages; all are caught with the check tool's tables
-    assert right > 0.96 * len(held) and sum(caught) > 0.8 * len(caught)
+    # about 350 toxic rows to learn from, 20 or 30 in some languages
+    assert right > 0.97 * len(held) and sum(caught) > 0.85 * len(caught)
     none = labels.limit(0)
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0.0}
     one = spark.createDataFrame([(12, 1), (12, 0), (36, None), (None, 1)], "doc_id long, toxic int")

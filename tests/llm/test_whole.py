@@ -1,8 +1,8 @@
 """The whole job: cases that a shorter form of an operator left out."""
 
+import math
 import random
 import textwrap
-import tracemalloc
 
 import numpy as np
 
@@ -28,18 +28,70 @@ def test_passage_within_sentences(spark):
 
 
 def test_toxic_evidence():
-    """An n-gram of 10 toxic texts and no other has a weight; the regression holds little beside the features."""
+    """An n-gram of 10 toxic texts and no other has a weight."""
     counts = np.zeros((2, 3), np.int32)
     counts[1] = 10, 2, 0
     assert (toxicity.ratios(counts, np.array([2803, 352])) != 0).tolist() == [True, False, False] and toxicity.MOST >= 12_000
-    rng = np.random.default_rng(1)
-    sizes, width = np.full(6000, 1000), 5000
-    cols, y = rng.integers(0, width, sizes.sum()).astype(np.int32), (np.arange(6000) % 2).astype(float)
-    tracemalloc.start()
-    toxicity._regress(cols, sizes, np.ones(width), y, np.ones(6000), steps=2)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert peak < 2 * cols.nbytes
+
+
+def plain_places(text):
+    """Places of the text's n-grams, a character at a time."""
+    low, out, m = text.lower(), set(), 0xFFFFFFFF
+    for n in toxicity.SIZES:
+        for i in range(len(low) - n + 1):
+            h = ord(low[i]) * 0x01000193 & m
+            for c in low[i + 1 : i + n]:
+                h = ((h + ord(c)) * 0x01000193 & m) ^ (h >> 15)
+            out.add(((h + n) * 0x9E3779B1 & m) >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_by_hand(spark, monkeypatch):
+    """Scores recomputed in plain Python, and the gradient of the whole objective at what the fit found."""
+    monkeypatch.setattr(toxicity, "CHUNK", 300)  # most texts go in pieces
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7)))
+    plain, bad = [word() for _ in range(60)], ["Scurvyknave"]
+    rows = []
+    for i in range(160):
+        own = [rng.choice(plain) for _ in range(rng.randint(3, 120))]
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = rng.choice(bad)
+        rows.append((i, " ".join(own)))
+    rows += [(160, None), (161, ""), (162, "Ünïcödé ΣΑΣ scurvyknave" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    named = {i: int(i % 3 == 0) for i in range(150)}
+    weights, bias = toxicity.fit(docs, spark.createDataFrame(list(named.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (weights, bias)).collect()}
+    sets = {i: plain_places(t or "") for i, t in rows}
+    for i, own in sets.items():
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(float(weights[k]) for k in own) - bias))) < 1e-5
+    texts = {t: i for i, t in rows if i in named}
+    learned = sorted(texts.values())
+    n = [sum(named[i] == c for i in learned) for c in (0, 1)]
+    counts = [[0] * (1 << toxicity.BITS) for _ in range(2)]
+    for i in learned:
+        for k in sets[i]:
+            counts[named[i]][k] += 1
+    slope: dict = {}
+    for i in learned:
+        e = (1 / (1 + math.exp(-sum(float(weights[k]) for k in sets[i]) - bias)) - named[i]) * 0.5 / n[named[i]]
+        for k in [*sets[i], "bias"]:
+            slope[k] = slope.get(k, 0) + e
+    assert abs(slope["bias"]) < 1e-4
+    some = 0
+    for k in set().union(*sets.values()):
+        p, q = counts[1][k] + 1, counts[0][k] + 1
+        r = math.log(p / (n[1] + 2)) - math.log(q / (n[0] + 2))
+        r = math.copysign(max(0, abs(r) - toxicity.Z * math.sqrt(1 / p + 1 / q)), r)
+        if r == 0:
+            assert weights[k] == 0
+            continue
+        x = r / math.sqrt((0.5 * counts[0][k] / n[0] + 0.5 * counts[1][k] / n[1]) * r * r + 1e-3)
+        some += 1
+        assert abs(slope[k] * x + 1e-3 * float(weights[k]) / x) < 1e-3
+    assert some > 10 and all((got[i] > 0.5) == (i % 3 == 0) for i in range(160))
+    assert toxicity.score(docs.limit(0), (weights, bias)).count() == 0 and toxicity.fit(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))[1] == -1e9
 
 
 def test_full_caps_and_chunks_without_ids(monkeypatch):
