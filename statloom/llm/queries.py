@@ -115,18 +115,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept FROM base
 """
 
-_KNOWN = ", ".join("('" + license.normal(x) + "', '" + name + "')" for name, forms in license.SENTENCES.items() for x in forms)
-_RULES = ", ".join(f"({i}, '{name}', '" + r"\|" + r"\|(.*\|)?".join(seq) + r"\|" + "')" for i, (name, seq) in enumerate(license.RULES))
-_CUT = r"string_split(regexp_replace(regexp_replace({}, '([.;:!?])[ \t\r\n]+', '\1' || chr(10), 'g'), 'identifier:\n', 'identifier: ', 'g'), chr(10))"
-_LOW = "lower(coalesce(text, ''))"
+_KNOWN = ", ".join(f"('{sentence}', '{name}')" for sentence, name in license.known().items())
+_RULES = ", ".join(f"({i}, '{name}', '{has}', '{out}')" for i, (name, has, out) in enumerate(license.patterns()))
+
+
+def _replaced(text: str, steps: list[tuple[str, str]]) -> str:
+    """SQL of ``text`` after all the steps, patterns as RE2 has them and \\1 for $1."""
+    for pattern, to in steps:
+        to = "'" + to.replace("$", "\\").replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '") + "'"
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
+_CUT = "string_split(" + _replaced("{}", license.ENDS).replace("{8", "{{8").replace("0}", "0}}") + ", chr(10))"
+_PARTED = "string_split(" + _replaced("chr(10) || lower(coalesce(text, '')) || chr(10)", license.PARTS) + ", chr(1))"
+_FORM = _replaced("trim(regexp_replace(s[i], '" + license._ODD + "', ' ', 'g'))", [license.REFERS])
 
 OP10_SQL = rf"""
-WITH known(sentence, id) AS (VALUES {_KNOWN}), rules(i, license, pattern) AS (VALUES {_RULES}),
-cut AS (SELECT doc_id, 0 AS wrapped, {_CUT.format(_LOW)} AS s FROM documents UNION ALL SELECT doc_id, 1, {_CUT.format("replace(" + _LOW + ", chr(10), ' ')")} FROM documents),
-form AS (SELECT doc_id, wrapped, i, trim(regexp_replace(s[i], '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS sentence FROM cut, unnest(range(1, len(s) + 1)) AS r(i)),
-ids AS (SELECT doc_id, wrapped, list(id ORDER BY i) AS ids FROM form JOIN known USING (sentence) GROUP BY doc_id, wrapped),
-best AS (SELECT doc_id, ids FROM ids QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(ids) DESC, wrapped) = 1),
-held AS (SELECT doc_id, license, min(i) AS i FROM best JOIN rules ON regexp_matches('|' || array_to_string(ids, '|') || '|', pattern) GROUP BY doc_id, license),
+WITH known(sentence, id) AS (VALUES {_KNOWN}), rules(i, license, has, rules_out) AS (VALUES {_RULES}),
+parted AS (SELECT doc_id, {_PARTED} AS p FROM documents),
+paragraph AS (SELECT doc_id, j, p[j] AS t FROM parted, unnest(range(1, len(p) + 1)) AS r(j)),
+cut AS (SELECT doc_id, j, 0 AS wrapped, {_CUT.format("t")} AS s FROM paragraph UNION ALL SELECT doc_id, j, 1, {_CUT.format("replace(t, chr(10), ' ')")} FROM paragraph),
+form AS (SELECT doc_id, j, wrapped, i, {_FORM} AS sentence FROM cut, unnest(range(1, len(s) + 1)) AS r(i)),
+ids AS (SELECT doc_id, j, wrapped, list(id ORDER BY i) AS ids FROM form JOIN known USING (sentence) GROUP BY doc_id, j, wrapped),
+read AS (SELECT doc_id, j, ids FROM ids QUALIFY row_number() OVER (PARTITION BY doc_id, j ORDER BY len(ids) DESC, wrapped) = 1),
+best AS (SELECT doc_id, flatten(list(ids ORDER BY j)) AS ids FROM read GROUP BY doc_id),
+rows AS (SELECT doc_id, '|' || array_to_string(ids, '||') || '|' AS line FROM best),
+held AS (SELECT doc_id, license, min(i) AS i FROM rows JOIN rules ON regexp_matches(line, has) AND NOT regexp_matches(line, rules_out) GROUP BY doc_id, license),
 named AS (SELECT doc_id, string_agg(license, ',' ORDER BY i) AS licenses FROM held GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
 FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)

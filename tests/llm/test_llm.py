@@ -322,8 +322,8 @@ def test_licenses(spark, odd):
         "doc_id long, text string",
     )
     got = {r.doc_id: (r.ids, r.licenses) for r in license.scan(d).collect()}
-    assert got[1] == (["mit-ref"], ["MIT"]) and got[2] == (["mit-grant", "mit-notice", "as-is"], ["MIT"]) and got[3] == (["apache-ref"], ["Apache-2.0"])
-    assert got[4] == got[5] == ([], []) and got[6] == (["cc-by-nc-ref", "cc-by-ref", "cc-by-ref"], ["CC-BY-4.0", "CC-BY-NC-4.0"])
+    assert got[1] == (["ref-MIT"], ["MIT"]) and got[2] == (["mit-grant", "mit-notice", "as-is"], ["MIT"]) and got[3] == (["ref-Apache-2.0"], ["Apache-2.0"])
+    assert got[4] == got[5] == ([], []) and got[6] == (["ref-CC-BY-NC-4.0", "ref-CC-BY-4.0", "ref-CC-BY-4.0"], ["CC-BY-4.0", "CC-BY-NC-4.0"])
     assert all(any(s in x.lower() for s in license.STEMS) for forms in license.SENTENCES.values() for x in forms)
     assert license.scan(odd).count() == odd.count()
 
