@@ -107,9 +107,10 @@ good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAV
 held AS (SELECT m.* FROM m JOIN base USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed),
 grid(rule, cutoff) AS (VALUES {_GRID}),
 tried AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM held JOIN grid USING (rule) GROUP BY ALL),
-tests AS (SELECT count(DISTINCT lang) * (SELECT count(*) FROM grid) AS t FROM held),
+tests AS (SELECT count(DISTINCT lang) * (SELECT count(DISTINCT rule) FROM grid) AS t FROM held),
 tail AS (SELECT *, CASE WHEN k < n * {_P!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r})))) ELSE 1 END AS p FROM tried),
-chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tail, tests WHERE p <= {quality.DELTA!r} / t GROUP BY lang, rule),
+tested AS (SELECT lang, rule, cutoff, bool_and(p <= {quality.DELTA!r} / t) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS certified FROM tail, tests),
+chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tested WHERE certified GROUP BY lang, rule),
 failed AS (SELECT DISTINCT doc_id FROM m JOIN chosen USING (lang, rule) WHERE v > cutoff)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept FROM base
