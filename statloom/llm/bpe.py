@@ -27,15 +27,24 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statloom.llm.common import documents_of, partitions, text_rows, trim
+from statloom.llm.common import documents_of, free, grouped, partitions, short_batches, text_rows, trim
 
 BLOCK = 4 << 20
-_ODD = re.compile("[^\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+# Characters that the regular expression below treats as the tokenizer does: letters whose lower case is one letter, and
+# signs; all stay as they are under NFC unless a combining mark follows, which is none of them.
+_UPPER = "A-Z\xc0-\xd6\xd8-\xde\u0100-\u012f\u0132-\u0148\u014a-\u017e\u0400-\u042f"
+_LOWER = "a-z\xdf-\xf6\xf8-\xff\u0131\u0430-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+_SIGN = "!-/:-@\\[-`{-~\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7\u2010-\u2027\u3001-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_LETTER = _LOWER + "\u0101-\u012f\u0132-\u0148\u014a-\u017e"
+_ODD = re.compile(f"[^\t\n\r 0-9{_UPPER}{_LOWER}{_SIGN}]|<\\|")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
 _BLANK = re.compile("[ \t\n\r]+")
 _CHUNK = "\0"
 
@@ -48,24 +57,25 @@ def kept(key: str, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text in order; chunks for the whole tokenizer are marked by a leading zero character."""
-    if _ODD.search(text) is None:
-        return _WORD.findall(text.lower())
-    return [_CHUNK + x for x in _BLANK.split(text) if x]
-
-
 def chunks_of(text: str) -> list[str]:
-    """The chunks between white space, from each of which cut_chunk() makes the words that words_of() finds in it."""
+    """The chunks between white space, in lower case; those for the whole tokenizer as they are, marked by a leading zero character."""
     if _ODD.search(text) is None:
         return text.lower().split()
-    return [_CHUNK + x for x in _BLANK.split(text) if x]
+    return [_CHUNK + x if _ODD.search(x) else x.lower() for x in _BLANK.split(text) if x]
 
 
 def cut_chunk(chunk: str) -> list[str]:
+    """The words of a chunk in order."""
     return [chunk] if chunk[0] == _CHUNK else _WORD.findall(chunk)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in order."""
+    if _ODD.search(text) is None:
+        return _WORD.findall(text.lower())
+    return [w for c in chunks_of(text) for w in cut_chunk(c)]
+
+
 class WordEncoder:
     """Ids of single words of one tokenizer file of the word-end kind (byte-level letters, ``</w>``)."""
 
@@ -116,10 +126,6 @@ class WordEncoder:
         """Ids of each word (unsigned 32-bit)."""
         return [np.frombuffer(x, np.uint32) for x in self.encode_raw(words)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The pieces of ``ids``, joined as the tokenizer joins them."""
-        return " ".join(map(self.pieces.__getitem__, ids.tolist()))
-
 
 def _pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
@@ -134,6 +140,9 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[int |
     base, n, size = TaskContext.get().partitionId() << 32, 0, 0
     ids, texts = [], []
     for doc_id, text in text_rows(batches):
+        if ids and len(text or "") > BLOCK:
+            yield base + n, ids, texts
+            n, size, ids, texts = n + 1, 0, [], []
         ids.append(doc_id), texts.append(text or "")
         size += len(texts[-1])
         if size > BLOCK:
@@ -143,14 +152,16 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[int |
         yield base + n, ids, texts
 
 
-def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, binary) and decoded text of each whole document.
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, binary) of each whole document.
 
     ``tokenizer`` is the path of the tokenizer's file on the driver; its content travels with the tasks.
     """
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
-    docs, buckets = documents_of(docs), partitions(docs.sparkSession)
+    docs = documents_of(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = partitions(docs.sparkSession, size)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
@@ -189,39 +200,58 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def put(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.load(definition)
         ids: dict[str, bytes] = {}
-        said: dict[str, str] = {}
-
-        def learn(words: list[str], each: list[np.ndarray]) -> None:
-            ids.update(zip(words, (x.tobytes() for x in each)))
-            said.update(zip(words, map(encoder.decode, each)))
-
         for words, packed in zip(right.column("words"), right.column("ids")):
             words, data = _open(words.as_py()).decode().split("\n"), np.frombuffer(_open(packed.as_py()), np.uint32)
-            learn(words, np.split(data[len(words) :], np.cumsum(data[: len(words)])[:-1]))
-        names, out = ["doc_id", "n_tokens", "ids", "decoded"], ([], [], [])
+            ids.update(zip(words, (x.tobytes() for x in np.split(data[len(words) :], np.cumsum(data[: len(words)])[:-1]))))
         for packed in left.column("docs"):
-            data = pa.ipc.open_stream(_open(packed.as_py())).read_all()
-            for doc_id, text in text_rows(data.to_batches()):
+            out: tuple[list, list[bytes]] = ([], [])
+            for doc_id, text in text_rows(pa.ipc.open_stream(_open(packed.as_py())).read_all().to_batches()):
                 words = words_of(text)
                 if missing := list({w for w in words if w not in ids}):
-                    learn(missing, encoder.encode(missing))
-                own = b"".join(map(ids.__getitem__, words))
-                out[0].append(doc_id), out[1].append(own), out[2].append(" ".join(map(said.__getitem__, filter(ids.__getitem__, words))))
-                if len(out[0]) == 256:
-                    yield _encoded(*out, names)
-                    out = ([], [], [])
-        if out[0]:
-            yield _encoded(*out, names)
-        ids.clear(), said.clear()
+                    ids.update(zip(missing, encoder.encode_raw(missing)))
+                out[0].append(doc_id), out[1].append(b"".join(map(ids.__getitem__, words)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([len(x) // 4 for x in out[1]], pa.int64()), pa.array(out[1], pa.binary())], schema=_SCHEMA)
+        ids.clear()
         trim()
 
-    answered = docs.mapInArrow(ask, "block long, bucket int, words binary").groupBy("bucket").applyInArrow(answer, "block long, words binary, ids binary")
+    answered = grouped(docs.mapInArrow(ask, "block long, bucket int, words binary"), "bucket", buckets).applyInArrow(answer, "block long, words binary, ids binary")
     packed = docs.mapInArrow(pack, "block long, docs binary")
-    return packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda a, b: pa.Table.from_batches(list(put(a, b)), _SCHEMA), "doc_id long, n_tokens long, ids binary, decoded string")
+    both = grouped(packed, "block", buckets).cogroup(grouped(answered, "block", buckets))
+    return both.applyInArrow(lambda a, b: pa.Table.from_batches(list(put(a, b)), _SCHEMA), "doc_id long, n_tokens long, ids binary")
+
 
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
+def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
+    """``encoded``, all columns, and ``decoded``: the text that the tokenizer decodes from the binary column ``ids``.
 
-def _encoded(doc_ids: list, ids: list[bytes], decoded: list[str], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names)
+    Each id is joined with its piece, and the pieces of a row are joined by blanks, as this kind of tokenizer has no
+    decoder of its own; special tokens are kept. An id that the vocabulary lacks raises an error.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = f.read()
+    encoded, name = short_batches(encoded), free(encoded, "decoded")
+    at, fields = encoded.columns.index(ids), [*encoded.schema.fields, T.StructField(name, T.StringType())]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = kept("pieces-" + hashlib.sha256(definition.encode()).hexdigest(), lambda: pa.array(WordEncoder.load(definition).pieces, pa.large_string()))
+        for batch in batches:
+            sizes = np.fromiter((len(x) if x is not None else 0 for x in batch.column(at).to_pylist()), np.int64, batch.num_rows)
+            # at most about 4 M ids at a time, and at least a row
+            cut, i = np.cumsum(sizes) // (16 << 20), 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(cut, cut[i], "right")))
+                raw = [x or b"" for x in batch.column(at)[i:j].to_pylist()]
+                found = pieces.take(pa.array(np.frombuffer(b"".join(raw), "<u4")))
+                ends = np.r_[0, np.cumsum(np.array([len(x) // 4 for x in raw], np.int64))]
+                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), found), pa.scalar(" ", pa.large_string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, text.cast(pa.string())], [f.name for f in fields])
+                i = j
+
+    return encoded.mapInArrow(run, T.StructType(fields))
+
+
+def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text decoded from the ids."""
+    return decode(encode(docs, tokenizer), tokenizer)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import sys
@@ -10,7 +12,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,17 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, deleted when the session's Python process ends.
 
-    The cluster names that folder; only where it is unset (tests on one machine) a temporary one is made.
+    The cluster names that folder. Only on one machine (tests) a temporary one is made where it is unset: executors
+    elsewhere would not see it.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-"))
         base = jsc.getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clean)
+    _MADE.append((spark, path))
+    return path
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def clean() -> None:
+    """Deletes the folders that shared_dir() named; results that still read from them are lost. A session that has ended keeps its own."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone first
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -73,8 +95,14 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: int = 0, per: int = 128 << 20) -> int:
+    """The session's number of shuffle partitions, or more if ``size`` bytes make partitions of over ``per``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
+
+
+def grouped(df: DataFrame, key: str, n: int) -> GroupedData:
+    """``df`` by ``key``, in ``n`` partitions if the session would make fewer."""
+    return (df.repartition(n, key) if n > partitions(df.sparkSession) else df).groupBy(key)
 
 
 def raw_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes | None]]:
