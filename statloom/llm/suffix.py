@@ -3,7 +3,7 @@
 The order of suffixes matters only through ``length`` bytes, and only where a string repeats. Suffixes are therefore
 sorted most significant digit first, and whatever is alone is dropped after each digit.
 
-Digit 1, over the whole corpus: every string holds an anchor, the 16-byte gram of smallest hash in it, and equal strings
+Digit 1, over the whole corpus, is not the string's first bytes, which would have few and very unequal values: every string holds an anchor, the 16-byte gram of smallest hash in it, and equal strings
 hold it at the same place. Blocks of documents send 32 hash bits of their distinct anchors to buckets; a bucket answers
 with one bit, whether another document has the anchor too. Neighbouring strings share anchors, so this is about one
 short number per 18 bytes of text.
@@ -12,10 +12,12 @@ Digits 2 to 8, within a bucket: for the anchors left, blocks send the bytes arou
 with the smallest doc_id that has them. Strings of one anchor are sorted by 8 bytes at a time; groups that stay together
 through all ``length`` bytes are exactly the repeated strings. The smallest doc_id of each goes back to the blocks, which
 remove a string where that is smaller than the document's own. However many documents hold a passage, a block sends it
-once. Blocks are written to the shared folder once, and every step starts from there.
+once. Blocks are written to the shared folder once, and every step starts from there. The number of buckets follows the
+number of blocks, so a bucket stays as large whatever the input.
 
 Defined results: null text is empty; text of fewer bytes than ``length`` is kept whole; rows without a doc_id are
-neither compared nor changed; rows that share a doc_id are one document, none earlier than the other.
+neither compared nor changed; rows that share a doc_id are one document, none earlier than the other; a text of any
+length that Spark holds is a block of its own if it is longer than one, and is gone over in slabs.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import documents_of, partitions, raw_rows, written
+from statloom.llm.common import documents_of, grouped, partitions, raw_rows, written
 
-LENGTH, GRAM, BLOCK = 50, 16, 4 << 20
-_PLACE = (1 << 30) - 1
+LENGTH, GRAM, BLOCK, SLAB = 50, 16, 4 << 20, 4 << 20
+_PLACE = (1 << 31) - 1
 
 
 def _pack(data: bytes, level: int = 1) -> bytes:
@@ -57,6 +59,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_pack(sink.getvalue().to_pybytes(), 3)], pa.binary())], ["block", "docs"])
 
         for doc_id, text in raw_rows(batches):
+            if ids and len(text or b"") > BLOCK:
+                yield out()
+                n, size, ids, texts = n + 1, 0, [], []
             ids.append(doc_id), texts.append(text or b"")
             size += len(texts[-1])
             if size > BLOCK:
@@ -77,19 +82,22 @@ class Block:
         texts = rows.column("text").to_pylist()
         self.data = b"".join(texts)
         self.cut = np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)
-        if len(self.data) > _PLACE:
-            raise ValueError("a text of over 1 GB")
-        own = np.array([x is not None for x in self.ids], bool)
         self.doc = np.array([x or 0 for x in self.ids], np.int64)
-        n = len(self.data) - length + 1
-        empty = np.zeros(0, np.int64)
-        self.first, self.many, self.at, self.key, self.row = empty, empty, empty, np.zeros(0, np.uint64), empty
-        if n < 1:
-            return
-        at8 = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        h = at8[: len(self.data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+        own = np.array([x is not None for x in self.ids], bool)
+        starts = max(0, len(self.data) - length + 1)
+        # anchors of a slab of strings at a time: a long text takes little beside itself
+        found = [self._slab(i, min(i + SLAB, starts), own, length) for i in range(0, starts, SLAB)]
+        empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        self.first, self.many, self.at, self.row, self.key = (np.concatenate(x) for x in zip(empty, *found))
+        self.bucket = ((self.key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+    def _slab(self, lo: int, hi: int, own: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """first, many, at, row, key of the anchors of the strings that start at lo to hi."""
+        size = hi - lo + length - 1
+        at8 = np.ndarray((size - 7,), "<u8", self.data, offset=lo, strides=(1,))
+        h = at8[: size - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-        h += at8[8 : len(self.data) - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += at8[8 : size - GRAM + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
@@ -101,17 +109,14 @@ class Block:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
         place = (low & np.uint64(_PLACE)).astype(np.int64)
         # strings that cross documents, or are of rows without doc_id, are no strings
-        count = np.where(own, np.maximum(np.diff(self.cut) - length + 1, 0), 0)
-        row = np.repeat(np.arange(len(count)), count)
-        s = self.cut[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        if not len(s):
-            return
-        p = place[s]
-        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (row[1:] != row[:-1])])
-        self.first, self.many, self.at, self.row = s[new], np.diff(np.r_[new, len(s)]), p[new], row[new]
-        self.key = h[self.at] * np.uint64(0xD6E8FEB86659FD93)
-        self.key ^= self.key >> np.uint64(32)
-        self.bucket = ((self.key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        s = np.arange(lo, hi)
+        row = np.searchsorted(self.cut, s, "right") - 1
+        good = own[row] & (s + length <= self.cut[row + 1])
+        s, row, p = s[good], row[good], place[good]
+        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(s) else np.zeros(0, np.int64)
+        key = h[p[new]] * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+        return s[new], np.diff(np.r_[new, len(s)]) if len(s) else new, p[new] + lo, row[new], key
 
     def anchors(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, hash bits of its distinct anchors in order, whether several documents here have it, each anchor's place in that order)."""
@@ -200,9 +205,10 @@ def _sort(entries: list[bytes], docs: np.ndarray, many: np.ndarray, own: np.ndar
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (long), kept (binary), spans (array of {start, end} in bytes of the input)."""
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
-    packed, buckets = blocks(docs), partitions(docs.sparkSession)
+    if not GRAM + 8 <= length < 128:
+        raise ValueError(f"length must be from {GRAM + 8} to 127")
+    packed = blocks(docs)
+    buckets = partitions(docs.sparkSession, packed.count() * BLOCK)
     batch = pa.RecordBatch.from_arrays
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +264,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         out: list[list] = [[], [], [], [], [], []]
         for data in left.column("docs"):
             block = Block(data.as_py(), buckets, length)
-            edge = np.zeros(len(block.data) + 1, np.int64)
+            # a string starts and one ends at each place at most, and length is below 128
+            edge = np.zeros(len(block.data) + 1, np.int8)
             for k, found, _, part, which in block.entries(flags, length):
                 docs_ = np.frombuffer(_open(least[k]), np.int64)
                 base = np.r_[0, np.cumsum([len(x) - length for x in found])]
@@ -266,9 +273,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 a = np.repeat(np.arange(len(part)), n)
                 t = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
                 s = (block.first[part][a] + t)[docs_[base[which[a]] + t] < block.doc[block.row[part]][a]]
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+                edge[s] += np.int8(1)
+                edge[s + length] -= np.int8(1)
+            gone = np.cumsum(edge[:-1], dtype=np.int8) > 0
             raw = np.frombuffer(block.data, np.uint8)
             for doc_id, i, j in zip(block.ids, block.cut[:-1].tolist(), block.cut[1:].tolist()):
                 own = gone[i:j]
@@ -279,9 +286,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     c.append(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
-    by = lambda df: df.groupBy("block")
-    flags = written(packed.mapInArrow(ask, "block long, bucket int, asked binary").groupBy("bucket").applyInArrow(repeated, "block long, bucket int, flags binary"))
-    least = by(packed).cogroup(by(flags)).applyInArrow(send, "block long, bucket int, sent binary").groupBy("bucket").applyInArrow(sort, "block long, bucket int, least binary")
+    by = lambda df: grouped(df, "block", buckets)
+    flags = written(grouped(packed.mapInArrow(ask, "block long, bucket int, asked binary"), "bucket", buckets).applyInArrow(repeated, "block long, bucket int, flags binary"))
+    least = grouped(by(packed).cogroup(by(flags)).applyInArrow(send, "block long, bucket int, sent binary"), "bucket", buckets).applyInArrow(sort, "block long, bucket int, least binary")
     told = flags.select("block", "bucket", F.lit(0).alias("kind"), F.col("flags").alias("data")).unionByName(least.select("block", "bucket", F.lit(1).alias("kind"), F.col("least").alias("data")))
     return by(packed).cogroup(by(told)).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 

@@ -155,7 +155,9 @@ def test_short_sentences_repeat(spark):
     assert got[0].n_removed == 0 and all(got[i].text.strip() == own[i] for i in range(1, 60))
 
 
-def test_suffix(odd):
+@pytest.mark.parametrize("slab", [4 << 20, 77])
+def test_suffix(odd, slab, monkeypatch):
+    monkeypatch.setattr(suffix, "SLAB", slab)
     rows, first, got = rows_of(odd), {}, {}
     for r in suffix.remove_repeats(odd).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -222,9 +224,10 @@ def test_words_of_any_text(tokenizer):
     with open(queries.tokenizer_file(), encoding="utf-8") as f:
         encoder = bpe.WordEncoder(f.read())
     rng = random.Random(1)
-    letters = [chr(c) for c in (*range(0x250), *range(0x300, 0x370), *range(0x1E00, 0x2070), 0x3000, 0xFEFF, 0x1F600)]
-    for _ in range(1500):
-        text = "".join(rng.choice(letters if rng.random() < 0.5 else "abc '\t\nsdre!") for _ in range(rng.randint(1, 40)))
+    letters = [chr(c) for c in (*range(0x250), *range(0x300, 0x370), *range(0x370, 0x470), *range(0x1E00, 0x2070), *range(0x3000, 0x3100), *range(0x4E00, 0x4E30), *range(0xAC00, 0xAC20), *range(0xFF00, 0xFF30), 0xFEFF, 0x1F600)]
+    common = "“”‘’–—…«»ñßœŁšжЖйИ漢字かなカ한、。！"
+    for _ in range(4000):
+        text = "".join(rng.choice(letters if rng.random() < 0.3 else common if rng.random() < 0.4 else "abc '\t\nsdre!") for _ in range(rng.randint(1, 40)))
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert [int(k) for w in encoder.encode(bpe.words_of(text)) for k in w] == want, ascii(text)
         assert [w for c in bpe.chunks_of(text) for w in bpe.cut_chunk(c)] == bpe.words_of(text)

@@ -4,8 +4,9 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from statloom.llm import queries, substring, tokenfile, toxicity
+from statloom.llm import bpe, common, queries, suffix, substring, tokenfile, toxicity
 
 
 def test_passage_within_sentences(spark):
@@ -104,3 +105,45 @@ def test_full_caps_and_chunks_without_ids(monkeypatch):
     memo = tokenfile.Memo(definition)
     assert [memo.encode([x], b"")[0] for x in (blank, "three four", blank)] == want
     assert len(memo.words) >= 5 and b"" in memo.words.values()
+
+
+def test_mixed_text_shares_words():
+    """A quote or a foreign letter sends its own chunk to the whole tokenizer, if any, not the text's."""
+    plain, mixed = "The cat's hat, and 12 dogs. The end", "The cat's hat, and “12 dogs” . Ω\u0301 The end"
+    assert set(bpe.words_of(plain)) <= set(bpe.words_of(mixed)) and len(bpe.words_of(mixed)) < len(bpe.words_of(plain)) + 5
+    han = "今日は、天気がいい。" * 3
+    assert set(bpe.words_of(han)) == {"今日は", "、", "天気がいい", "。"}
+
+
+def test_decode_alone(spark):
+    """Ids decode without the texts that they came from."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_file())
+    rng = random.Random(3)
+    rows = [(i, np.array([rng.randrange(49408) for _ in range(rng.randint(0, 300))], "<u4")) for i in range(40)]
+    d = spark.createDataFrame([(i, bytes(x.tobytes()), "clash") for i, x in rows] + [(40, None, None)], "doc_id long, ids binary, decoded string")
+    got = {r.doc_id: r.decoded_ for r in bpe.decode(d, queries.tokenizer_file()).collect()}
+    assert got == {i: whole.decode(x.tolist(), skip_special_tokens=False) for i, x in rows} | {40: ""}
+
+
+def test_long_text(spark):
+    """A text of 60 MB that holds another's passage."""
+    rng = np.random.default_rng(2)
+    long = rng.integers(97, 123, 60_000_000, np.uint8)
+    passage = long[31_000_000:31_000_200].tobytes().decode()
+    d = spark.createDataFrame([(1, "x" * 10 + passage)], "doc_id long, text string").unionByName(spark.range(2, 3).selectExpr("id AS doc_id", "'' AS text"))
+    data = pa.record_batch([pa.array([1, 2]), pa.array([d.first().text.encode(), long.tobytes()])], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema) as w:
+        w.write_batch(data)
+    block = suffix.Block(suffix._pack(sink.getvalue().to_pybytes()), 4, 50)
+    assert len(block.first) < len(long) / 10 and block.many.sum() == (len(long) - 49) + (210 - 49)
+    assert any(several.any() for _, _, several, _, _ in block.anchors())
+
+
+def test_partitions_follow_the_input(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions(spark) == n and common.partitions(spark, 30 << 30) == 240
+    d = spark.range(100).selectExpr("id AS block")
+    assert "REPARTITION_BY_NUM" in common.grouped(d, "block", 240).count()._jdf.queryExecution().toString()
