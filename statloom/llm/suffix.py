@@ -109,10 +109,11 @@ class Block:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
         place = (low & np.uint64(_PLACE)).astype(np.int64)
         # strings that cross documents, or are of rows without doc_id, are no strings
-        s = np.arange(lo, hi)
-        row = np.searchsorted(self.cut, s, "right") - 1
-        good = own[row] & (s + length <= self.cut[row + 1])
-        s, row, p = s[good], row[good], place[good]
+        first = np.clip(self.cut[:-1], lo, hi)
+        count = np.where(own, np.maximum(np.clip(self.cut[1:] - length + 1, lo, hi) - first, 0), 0)
+        row = np.repeat(np.arange(len(count)), count)
+        s = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(row))
+        p = place[s - lo]
         new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(s) else np.zeros(0, np.int64)
         key = h[p[new]] * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
