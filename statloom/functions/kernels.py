@@ -52,7 +52,7 @@ def _p_z(z, alternative):
 
 def _t_record(label, n_ok, diff, se, df, d, alpha, alternative):
     t = diff / se
-    q = sp.qt(1 - (alpha / 2 if alternative == "two-sided" else alpha), df)
+    q = sp.qt(1 - (alpha / 2 if alternative == "two-sided" else alpha), df)  # once for each distinct df
     low = np.full(np.shape(diff), -np.inf) if alternative == "less" else diff - q * se
     high = np.full(np.shape(diff), np.inf) if alternative == "greater" else diff + q * se
     names = ("test_type", "t_statistic", "df", "p_value", "alternative", "mean_diff", "ci_lower", "ci_upper", "cohens_d")

@@ -51,9 +51,23 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
-_DATE = re.compile(r"(?:[AEJS]?DATE|DDMMYY[BCDNPS]?|MMDDYY[BCDNPS]?|YYMMDD[BCDNPS]?|YYMMN?|MMYYN?|[EB]8601DA|EURDFDD|JULIAN|JULDAY|MONYY|MONNAME|MOYR|QYR|WKYR|QTR|YEAR|NENGO|WEEK(?:DATE|DATX|U|V|W)|WORD(?:DATE|DATX)|YYMON|YYQ)\d*$")
-_DATETIME = re.compile(r"(?:DATETIME|DATEAMPM|DTDATE|[EB]8601DT|EURDFDT|MDYAMPM|YMDHMS)\d*$")
-_TIME = re.compile(r"(?:D?TIME|HHMM|MMSS|TIMEAMPM|TOD|[EB]8601TM|HOUR)\d*$")
+# Display formats that make a number a date, a timestamp or a time.
+DATES = """
+WEEKDATE WEEKDATX MMDDYY DDMMYY YYMMDD DATE DATE7 DATE9 YYMMDD10 DDMMYYB DDMMYYB10 DDMMYYC DDMMYYC10 DDMMYYD DDMMYYD10
+DDMMYYN6 DDMMYYN8 DDMMYYP DDMMYYP10 DDMMYYS DDMMYYS10 MMDDYYB MMDDYYB10 MMDDYYC MMDDYYC10 MMDDYYD MMDDYYD10 MMDDYYN6
+MMDDYYN8 MMDDYYP MMDDYYP10 MMDDYYS MMDDYYS10 DTDATE IS8601DA E8601DA B8601DA YYMMDDB YYMMDDD YYMMDDN YYMMDDP YYMMDDS
+WORDDATE WORDDATX JULDAY JULIAN MONYY YYQ DATE8 DATE11 DATE12 ADATE ADATE8 ADATE10 EDATE EDATE8 EDATE10 JDATE JDATE5
+JDATE7 SDATE SDATE8 SDATE10
+""".split()
+TIMESTAMPS = """
+DATETIME DATETIME17 DATETIME18 DATETIME19 DATETIME20 DATETIME21 DATETIME22 E8601DT DATEAMPM MDYAMPM IS8601DT B8601DT
+B8601DN DATETIME8 DATETIME23.2 YMDHMS16 YMDHMS19 YMDHMS19.2 YMDHMS20
+""".split()
+TIMES = "TIME HHMM HHMMSS TIME5 TIME8 TIME20 TIME20.3 TOD TIMEAMPM IS8601TM E8601TM B8601TM DTIME TIME11.2".split()
+# Additions: formats of the same kinds that the lists above lack, and, in temporal(), any width of those that they have.
+MORE_DATES = "DDMMYYN MMDDYYN YYMM YYMMN MMYY MMYYN EURDFDD MONNAME MOYR QYR WKYR QTR YEAR NENGO WEEKU WEEKV WEEKW YYMON".split()
+MORE_TIMESTAMPS, MORE_TIMES = ["EURDFDT", "YMDHMS"], ["MMSS", "HOUR"]
+KINDS = {"timestamp": {*TIMESTAMPS, *MORE_TIMESTAMPS}, "date": {*DATES, *MORE_DATES}, "time": {*TIMES, *MORE_TIMES}}
 
 
 def temporal(kind: str, fmt: str) -> str | None:
@@ -63,10 +77,13 @@ def temporal(kind: str, fmt: str) -> str | None:
             clock = "HH" in fmt and not any(x in fmt for x in ("DD", "CC", "YY", "NN"))
             return "time" if clock else "timestamp"
         return "date" if fmt.startswith(("%td", "%d")) else None
-    base = fmt.split(".")[0].upper().strip()
-    for name, pattern in (("timestamp", _DATETIME), ("date", _DATE), ("time", _TIME)):
-        if pattern.match(base):
-            return name
+    whole = fmt.upper().strip()
+    base = whole.split(".")[0]
+    # as it is first: the digits at the end of a name may be its width
+    for text in (whole, base, base.rstrip("0123456789")):
+        for name, known in KINDS.items():
+            if text in known:
+                return name
     return None
 
 
