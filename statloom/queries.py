@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom import cases
 from statloom.functions import scalars as S
 from statloom.operators import aggs as A
 from statloom.operators import frames as R
@@ -145,6 +146,27 @@ def _(spark, d):
     return load(spark, d, "events").select("event_id", A.ttest_1samp("value", over=w).alias("r")).select("event_id", (F.round("r.t_statistic", 4) + F.lit(0.0)).alias("t_statistic"))
 
 
+_Z975, _Z95 = 1.959963984540054, 1.6448536269514722
+
+
+def _big_qt(z: float, df: str) -> str:
+    """Student's quantile from the normal one, the expansion in 1 / df; exact to nine places for df over 1,000."""
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return f"({z!r} + " + " + ".join(f"{c!r} / pow({df}, {k})" for k, c in enumerate(terms, 1)) + ")"
+
+
+@query(
+    "ttest_1samp_intervals",
+    f"""SELECT l_returnflag, {r6(f"m - {_big_qt(_Z975, 'df')} * se")} AS ci_lower, {r6(f"m + {_big_qt(_Z975, 'df')} * se")} AS ci_upper, {r6(f"m - {_big_qt(_Z95, 'df')} * se")} AS greater_lower, {r6(f"m + {_big_qt(_Z95, 'df')} * se")} AS less_upper,
+    {r6(f"CASE WHEN t > 0 THEN {p_t('t', 'df')} / 2 ELSE 1 - {p_t('t', 'df')} / 2 END")} AS greater_p, {r6(f"CASE WHEN t < 0 THEN {p_t('t', 'df')} / 2 ELSE 1 - {p_t('t', 'df')} / 2 END")} AS less_p
+    FROM (SELECT l_returnflag, count(*) - 1.0 AS df, avg(l_quantity) - 25.5 AS m, sqrt(var_samp(l_quantity) / count(*)) AS se, (avg(l_quantity) - 25.5) / sqrt(var_samp(l_quantity) / count(*)) AS t FROM lineitem GROUP BY 1)""",
+)
+def _(spark, d):
+    kinds = {"two": {}, "greater": {"alternative": "greater"}, "less": {"alternative": "less"}}
+    t = load(spark, d, "lineitem").groupBy("l_returnflag").agg(*[A.ttest_1samp("l_quantity", 25.5, **o).alias(n) for n, o in kinds.items()])
+    return t.select("l_returnflag", *_six(**{n: F.col(c) for n, c in dict(ci_lower="two.ci_lower", ci_upper="two.ci_upper", greater_lower="greater.ci_lower", less_upper="less.ci_upper", greater_p="greater.p_value", less_p="less.p_value").items()}))
+
+
 # -- ranks and signs ----------------------------------------------------------------------------------------------------
 
 
@@ -173,6 +195,19 @@ def _(spark, d):
     return flat(R.wilcoxon_signed_rank(load(spark, d, "lineitem"), "l_discount", "l_tax", by=["l_returnflag"]), "w_statistic", "z_statistic", "p_value", "effect_size_r")
 
 
+@query(
+    "mann_whitney_one_sided",
+    f"""WITH s AS (SELECT c_acctbal AS v, c_nationkey % 2 = 0 AS a FROM customer), k AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY v)::DOUBLE AS t FROM s),
+    t AS (SELECT count(*) FILTER (a)::DOUBLE AS n1, count(*) FILTER (NOT a)::DOUBLE AS n2, sum(r) FILTER (a) AS r1, sum(t * t - 1) AS ties FROM k),
+    u AS (SELECT r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 AS gap, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM t), z AS (SELECT sign(gap) * greatest(abs(gap) - 0.5, 0) / s AS z FROM u)
+    SELECT {r6("z")} AS z_statistic, {r6(f"1 - {phi('z')}")} AS greater_p, {r6(phi("z"))} AS less_p FROM z""",
+)
+def _(spark, d):
+    c = load(spark, d, "customer").select(*[F.when(F.col("c_nationkey") % 2 == k, F.col("c_acctbal")).alias(n) for k, n in ((0, "x"), (1, "y"))])
+    up, down = (R.mann_whitney_u(c, "x", "y", alternative=a, continuity=True) for a in ("greater", "less"))
+    return flat(up, "z_statistic", "p_value").withColumnRenamed("p_value", "greater_p").join(F.broadcast(flat(down, "z_statistic", "p_value").withColumnRenamed("p_value", "less_p")), "z_statistic")
+
+
 _BINOM = "list_sum(list_transform(range(0, CAST(least(a, b) AS INT) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))"
 
 
@@ -315,7 +350,37 @@ def _(spark, d):
     return flat(R.ks_test_2samp(_two(spark, d), "x", "y"), "d_statistic", "p_value", "n_x", "n_y")
 
 
-@query("shapiro_wilk_by_nation")
+def _poly(x: str, *c: float) -> str:
+    """c[0] + c[1] x + ..., by Horner's rule."""
+    out = repr(c[-1])
+    for k in reversed(c[:-1]):
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def _qnorm(p: str) -> str:
+    """Wichura's rational approximations of the normal quantile (algorithm AS 241), for p and 1 - p above exp(-25)."""
+    a = (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727)
+    b = (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)
+    c = (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640)
+    e = (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9)
+    near, far = f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"(sqrt(-ln(least({p}, 1 - ({p})))) - 1.6)"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_poly(near, *a)} / {_poly(near, *b)} ELSE sign({p} - 0.5) * {_poly(far, *c)} / {_poly(far, *e)} END"
+
+
+# Royston's approximation (AS R94), as published
+_SHAPIRO = f"""WITH o AS (SELECT c_nationkey AS g, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS i, count(*) OVER (PARTITION BY c_nationkey)::DOUBLE AS n FROM customer),
+    m AS (SELECT *, {_qnorm("((i - 0.375) / (n + 0.25))")} AS m FROM o),
+    k AS (SELECT g, n, 1 / sqrt(n) AS u, sum(m * m) AS ss, max(CASE WHEN i = n THEN m END) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2, avg(x) AS mean FROM m GROUP BY g, n),
+    a AS (SELECT *, {_poly("u", 0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)} + m1 / sqrt(ss) AS a1, {_poly("u", 0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)} + m2 / sqrt(ss) AS a2 FROM k),
+    f AS (SELECT *, (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM a),
+    w AS (SELECT g, n, pow(sum(x * CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2) / sum(pow(x - mean, 2)) AS w FROM m JOIN f USING (g, n) GROUP BY g, n),
+    z AS (SELECT *, CASE WHEN n > 11 THEN (ln(1 - w) - ({_poly("ln(n)", -1.5861, -0.31082, -0.083751, 0.0038915)})) / exp({_poly("ln(n)", -0.4803, -0.082676, 0.0030302)})
+      ELSE (-ln(-2.273 + 0.459 * n - ln(1 - w)) - ({_poly("n", 0.5440, -0.39978, 0.025054, -0.0006714)})) / exp({_poly("n", 1.3822, -0.77857, 0.062767, -0.0020322)}) END AS z FROM w)
+    SELECT g AS c_nationkey, {r6("w")} AS w_statistic, {r6(f"1 - {phi('z')}")} AS p_value, CAST(n AS BIGINT) AS n FROM z"""
+
+
+@query("shapiro_wilk_by_nation", _SHAPIRO)
 def _(spark, d):
     return flat(R.shapiro_wilk(load(spark, d, "customer"), "c_acctbal", by=["c_nationkey"]), "w_statistic", "p_value", "n")
 
@@ -347,7 +412,7 @@ _G1B, _G2B = f"sqrt(n * (n - 1.0)) / (n - 2) * {_G1}", f"(n - 1.0) / ((n - 2.0)
 def _summary(spark, d, **options) -> DataFrame:
     h = load(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("x"))
     out = R.summary_stats(h, "x", by=["l_returnflag"], **options)
-    return flat(out, *_SUMMARY).join(out.select(F.col("l_returnflag").alias("k"), (F.round("r.variance", 3) + 0.0).alias("v")), F.col("l_returnflag") == F.col("k")).drop("variance", "k").withColumnRenamed("v", "variance")
+    return flat(out.withColumn("v", F.round("r.variance", 3) + 0.0), *_SUMMARY).drop("variance").withColumnRenamed("v", "variance")
 
 
 @query("summary_stats_by_flag", _summary_sql("quantile_cont(x, @q)", _G1B, _G2B))
@@ -451,6 +516,33 @@ def _(spark, d):
     return g.select("c_custkey", *_six(dt=S.distribution("dt", "x", 5.0), dchisq=S.distribution("dchisq", "w", 3.0), dgamma=S.distribution("dgamma", "w", 2.5, 1.5), dbeta=S.distribution("dbeta", "u", 2.0, 5.0), df=S.distribution("df", "w", 4.0, 9.0)))
 
 
+@query(
+    "dist_quantiles_closed",
+    f"""SELECT c_custkey, {r6("tan(pi() * (u - 0.5))")} AS t1, {r6("(2 * u - 1) / sqrt(2 * u * (1 - u))")} AS t2, {r6("-2 * ln(1 - u)")} AS chisq2, {r6("-ln(1 - u) / 2")} AS gamma1, {r6("pow(u, 1.0 / 3)")} AS beta31, {r6("1 - pow(1 - u, 0.25)")} AS beta14,
+    {r6("3.5 * (pow(1 - u, -2.0 / 7) - 1)")} AS f27, {r6("1 - exp(-2 * w) * (1 + 2 * w + 2 * w * w)")} AS pgamma3 FROM (SELECT *, abs(x) + 0.1 AS w FROM ({_GRID}))""",
+)
+def _(spark, d):
+    q = S.distribution
+    closed = dict(t1=q("qt", "u", 1.0), t2=q("qt", "u", 2.0), chisq2=q("qchisq", "u", 2.0), gamma1=q("qgamma", "u", 1.0, 2.0), beta31=q("qbeta", "u", 3.0, 1.0), beta14=q("qbeta", "u", 1.0, 4.0), f27=q("qf", "u", 2.0, 7.0), pgamma3=q("pgamma", "w", 3.0, 2.0))
+    return _grid(spark, d).withColumn("w", F.abs("x") + 0.1).select("c_custkey", *_six(**closed))
+
+
+@query("dist_quantiles_tables", "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, (*_, v) in enumerate(cases.QUANTILES)) + ") AS t(place, value)")
+def _(spark, d):
+    each = [F.struct(F.lit(i).alias("place"), (F.round(S.distribution(name, *args), 6) + F.lit(0.0)).alias("value")) for i, (name, args, _) in enumerate(cases.QUANTILES)]
+    return spark.range(1).select(F.explode(F.array(*each)).alias("s")).select("s.*")
+
+
+@query(
+    "poibin_cdf_half",
+    f"""WITH g AS (SELECT l_orderkey, list(l_discount) AS p FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, len(p) // 2 AS k, bit_count(CAST(m AS BIGINT)) AS hits, list_aggregate(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN (CAST(m AS BIGINT) >> (i - 1)) & 1 = 1 THEN p[i] ELSE 1 - p[i] END), 'product') AS p FROM g, unnest(range(0, CAST(pow(2, len(p)) AS BIGINT))) AS r(m))
+    SELECT l_orderkey, {r6("sum(p) FILTER (hits <= k) + 3e-9")} AS half FROM m GROUP BY 1""",
+)
+def _(spark, d):
+    p = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("p"))
+    return p.select("l_orderkey", *_six(half=S.poibin_cdf("p", F.floor(F.size("p") / 2)) + 3e-9))
+
+
 @query("poibin_cdf_none", f"SELECT l_orderkey, {r6('product(1 - l_discount) + 1e-9')} AS none, {r6('1 - product(l_discount) + 1e-9')} AS not_all FROM lineitem GROUP BY 1")
 def _(spark, d):
     p = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("p"))
@@ -480,9 +572,21 @@ def _(spark, d):
     return corr_matrix(load(spark, d, "part"), _PART, "spearman").select("row_var", "col_var", (F.round("coef", 6) + 0.0).alias("coef"), "n")
 
 
-@query("corr_matrix_kendall")
+def _tau_sql(x: str, y: str) -> str:
+    """tau, p and n of two columns of supplier, from all pairs of rows."""
+    return f"""SELECT '{x}' AS row_var, '{y}' AS col_var, {r6("tau")} AS coef, {r6(p_z("z"))} AS p_value, CAST(n AS BIGINT) AS n FROM (SELECT n, s / sqrt((n * (n - 1) - t1) / 2 * (n * (n - 1) - u1) / 2) AS tau,
+    s / sqrt((n * (n - 1) * (2 * n + 5) - vt - vu) / 18 + t1 * u1 / (2 * n * (n - 1)) + t2 * u2 / (9 * n * (n - 1) * (n - 2))) AS z FROM
+    (SELECT sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y}))::DOUBLE AS s FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), (SELECT count(*)::DOUBLE AS n FROM supplier),
+    (SELECT sum(t * (t - 1) * (2 * t + 5)) AS vt, sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t - 2)) AS t2 FROM (SELECT count(*)::DOUBLE AS t FROM supplier GROUP BY {x})),
+    (SELECT sum(t * (t - 1) * (2 * t + 5)) AS vu, sum(t * (t - 1)) AS u1, sum(t * (t - 1) * (t - 2)) AS u2 FROM (SELECT count(*)::DOUBLE AS t FROM supplier GROUP BY {y})))"""
+
+
+_SUPPLIER = ["s_acctbal", "s_nationkey"]
+
+
+@query("corr_matrix_kendall", " UNION ALL ".join(_tau_sql(x, y) for x in _SUPPLIER for y in _SUPPLIER))
 def _(spark, d):
-    return corr_matrix(load(spark, d, "supplier"), ["s_acctbal", "s_nationkey"], "kendall")
+    return corr_matrix(load(spark, d, "supplier"), _SUPPLIER, "kendall").select("row_var", "col_var", *_six(coef=F.col("coef"), p_value=F.col("p_value")), "n")
 
 
 _STRATA = "SELECT c_acctbal, c_mktsegment, 'Overall' AS s FROM t UNION ALL SELECT c_acctbal, c_mktsegment, CAST(c_nationkey AS VARCHAR) FROM t"
@@ -490,14 +594,20 @@ _STRATA = "SELECT c_acctbal, c_mktsegment, 'Overall' AS s FROM t UNION ALL SELEC
 
 @query(
     "table_one",
-    f"""WITH t AS (SELECT * FROM customer WHERE c_nationkey < 5), s AS ({_STRATA}),
-    q AS (SELECT s, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS q2, quantile_cont(c_acctbal, 0.75) AS q3 FROM s GROUP BY 1)
+    f"""WITH t AS (SELECT * FROM customer), s AS ({_STRATA}),
+    q AS (SELECT s, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS q2, quantile_cont(c_acctbal, 0.75) AS q3 FROM s GROUP BY 1),
+    w AS (SELECT sum(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(n * pow(m - (SELECT avg(c_acctbal) FROM t), 2)) AS between, sum((n - 1) * v) AS within FROM (SELECT count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM t GROUP BY c_nationkey)),
+    a AS (SELECT {p_f("f", "d1", "d2")} AS p FROM (SELECT (between / (k - 1)) / (within / (n - k)) AS f, k - 1 AS d1, n - k AS d2 FROM w)),
+    o AS (SELECT r.k AS r, c.k AS c, coalesce(o, 0) AS o, r.n * c.n / (SELECT count(*)::DOUBLE FROM t) AS e FROM (SELECT c_nationkey AS k, count(*)::DOUBLE AS n FROM t GROUP BY 1) r CROSS JOIN (SELECT c_mktsegment AS k, count(*)::DOUBLE AS n FROM t GROUP BY 1) c
+      LEFT JOIN (SELECT c_nationkey, c_mktsegment, count(*) AS o FROM t GROUP BY 1, 2) x ON x.c_nationkey = r.k AND x.c_mktsegment = c.k),
+    x AS (SELECT {p_chi("x", "df")} AS p FROM (SELECT sum(pow(o - e, 2) / e) AS x, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS df FROM o))
+    SELECT *, {r6("CASE variable WHEN 'c_acctbal' THEN (SELECT p FROM a) ELSE (SELECT p FROM x) END")} AS p_value FROM (
     SELECT 'c_acctbal' AS variable, NULL AS level, x.k AS statistic, s AS stratum, x.v AS display FROM q, unnest([{{'k': 'n', 'v': CAST(n AS VARCHAR)}}, {{'k': 'missing', 'v': '0'}}, {{'k': 'mean (sd)', 'v': printf('%.1f (%.1f)', m, sd)}}, {{'k': 'median [q1, q3]', 'v': printf('%.1f [%.1f, %.1f]', q2, q1, q3)}}, {{'k': 'min, max', 'v': printf('%.1f, %.1f', lo, hi)}}]) AS u(x)
     UNION ALL SELECT 'c_mktsegment', l.c_mktsegment, 'n (%)', n.s, printf('%d (%.1f%%)', coalesce(c, 0), 100.0 * coalesce(c, 0) / n.n) FROM (SELECT DISTINCT c_mktsegment FROM t) l CROSS JOIN (SELECT s, count(*) AS n FROM s GROUP BY 1) n LEFT JOIN (SELECT s, c_mktsegment, count(*) AS c FROM s GROUP BY 1, 2) k ON k.s = n.s AND k.c_mktsegment = l.c_mktsegment
-    UNION ALL SELECT 'c_mktsegment', 'Missing', 'n (%)', s, '0 (0.0%)' FROM (SELECT DISTINCT s FROM s)""",
+    UNION ALL SELECT 'c_mktsegment', 'Missing', 'n (%)', s, '0 (0.0%)' FROM (SELECT DISTINCT s FROM s))""",
 )
 def _(spark, d):
-    return table_one(load(spark, d, "customer").where("c_nationkey < 5"), ["c_acctbal", "c_mktsegment"], by=["c_nationkey"]).drop("p_value")
+    return table_one(load(spark, d, "customer"), ["c_acctbal", "c_mktsegment"], by=["c_nationkey"]).withColumn("p_value", F.round("p_value", 6) + 0.0)
 
 
 # -- SQL front end, charts, files, streams --------------------------------------------------------------------------------
@@ -509,13 +619,19 @@ def _(spark, d):
     return flat(StatsSession(spark).sql("SELECT o_orderpriority, ttest_1samp(o_totalprice, 150000) AS r FROM statloom_orders GROUP BY o_orderpriority"), *_T)
 
 
-_CHART = "VISUALIZE o_orderpriority AS x, o_totalprice AS y, o_orderstatus AS color FROM orders DRAW point DRAW line FACET BY o_orderstatus SCALE color TO viridis SCALE y LABEL 'Price' TITLE 'Orders'"
-_SPEC, _LAYERS = chart.compile_chart(chart.parse(_CHART))
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("visualize", f"SELECT {_text(cases.ORDERS_SPEC)} AS spec, {', '.join(f'{_text(x)} AS {n}' for n, x in cases.ORDERS_SQL.items())}")
+def _(spark, d):
+    return StatsSession(spark).sql(cases.ORDERS).select("spec", *[F.col("layer_sqls")[n].alias(n) for n in cases.ORDERS_SQL])
 
 
-@query("visualize", f"SELECT '{_SPEC}' AS spec, {', '.join(f'{chr(39)}{s}{chr(39)} AS {n}' for n, s in _LAYERS.items())}")
+@query("visualize_statements", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(spec)}, {_text(' ; '.join(sql))})" for i, (_, spec, sql) in enumerate(cases.CHARTS)) + ") AS t(place, spec, layers)")
 def _(spark, d):
-    return StatsSession(spark).sql(_CHART).select("spec", *[F.col("layer_sqls")[n].alias(n) for n in _LAYERS])
+    made = [chart.compile_chart(chart.parse(x)) for x, *_ in cases.CHARTS]
+    return spark.createDataFrame([(i, spec, " ; ".join(layers[k] for k in sorted(layers))) for i, (spec, layers) in enumerate(made)], "place int, spec string, layers string")
 
 
 @query("visualize_bar_data", "SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1")
