@@ -294,6 +294,33 @@ def inversions(v: np.ndarray) -> int:
     return total
 
 
+def concordance(x, y, weight, apart=None) -> float:
+    """Concordant less discordant pairs of weighted points, ties in either out; with ``apart``, which rises with x, only pairs that differ in it.
+
+    Points are gone over in the order of x, in halves as when merging: each right half's points are placed among the
+    left half's y, whose weights are summed below and above.
+    """
+    order = np.lexsort((y, x))
+    x, y, weight = x[order], y[order], weight[order]
+    group = np.unique(x if apart is None else apart[order], return_inverse=True)[1]
+    total, starts = 0.0, np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    rank = np.unique(y, return_inverse=True)[1]
+    stack = [(0, len(starts))]
+    edge = np.r_[starts, len(x)]
+    while stack:
+        lo, hi = stack.pop()
+        if hi - lo < 2:
+            continue
+        mid = (lo + hi) // 2
+        stack += [(lo, mid), (mid, hi)]
+        left, right = slice(edge[lo], edge[mid]), slice(edge[mid], edge[hi])
+        at = np.argsort(rank[left], kind="stable")
+        low, sums = rank[left][at], np.r_[0.0, np.cumsum(weight[left][at])]
+        under, upto = sums[np.searchsorted(low, rank[right], "left")], sums[np.searchsorted(low, rank[right], "right")]
+        total += float((weight[right] * (under - (sums[-1] - upto))).sum())
+    return total
+
+
 def of_kendall(x, y):
     n = len(x)
     if n < 2:

@@ -43,13 +43,13 @@ def corr_matrix(data: DataFrame | str, variables: Sequence[str] | None = None, m
     pairs = [(i, j) for i in range(len(variables)) for j in range(i, len(variables))]
     name = {"pearson": "r", "spearman": "rho", "kendall": "tau"}[method]
     col = [F.col(f"`{v}`") for v in variables]
-    if method == "spearman":
-        # ranks are of each pair's complete cases, so each pair has its own
-        one = [frames.spearman_test(df, col[i], col[j]).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "r") for i, j in pairs]
+    if method != "pearson":
+        # ranks are of each pair's complete cases, so each pair has its own; none meets in one task
+        test = frames.spearman_test if method == "spearman" else frames.kendall_test
+        one = [test(df, col[i], col[j]).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "r") for i, j in pairs]
         tests = reduce(DataFrame.unionByName, one)
     else:
-        test = aggs.pearson_test if method == "pearson" else aggs.kendall_test
-        row = df.agg(*[test(col[i], col[j]).alias(f"t{k}") for k, (i, j) in enumerate(pairs)])
+        row = df.agg(*[aggs.pearson_test(col[i], col[j]).alias(f"t{k}") for k, (i, j) in enumerate(pairs)])
         tests = row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"t{k}").alias("r")) for k, (i, j) in enumerate(pairs)])).alias("s")).select("s.*")
     both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     names = F.array(*map(F.lit, variables))

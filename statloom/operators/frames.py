@@ -49,22 +49,31 @@ def keyed(f):
     return run
 
 
-def running(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], split: bool | None = None) -> DataFrame:
-    """``df`` (one row per ``by`` and ``value``) with, for each column of ``sums``, its sum over smaller values under the name given."""
+def ranged(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``df`` with __range, the place of ``value`` among approximate quantiles of its group, as many as shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(0.5)]), F.lit(1000)).alias("__cuts"))
+    return _match(df, cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+
+
+def running(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], split: bool | None = None, keep: bool = False) -> DataFrame:
+    """``df`` (one row per ``by`` and ``value``) with, for each column of ``sums``, its sum over smaller values under the name given.
+
+    With ``keep``, __range stays, by which the work was split; it is 0 where it was not.
+    """
     ordered = lambda *more: Window.partitionBy(*by, *more).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     if by and not split:
-        return df.withColumns({name: F.coalesce(F.sum(c).over(ordered()), zero) for c, name in sums.items()})
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(0.5)]), F.lit(1000)).alias("__cuts"))
-    cut = _match(df, cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+        out = df.withColumns({name: F.coalesce(F.sum(c).over(ordered()), zero) for c, name in sums.items()})
+        return out.withColumn("__range", F.lit(0)) if keep else out
+    cut = ranged(df, by, value)
     local = cut.withColumns({name: F.coalesce(F.sum(c).over(ordered("__range")), zero) for c, name in sums.items()})
     # as many rows as ranges
     whole = cut.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{name}") for c, name in sums.items()])
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = whole.select(*by, "__range", *[F.coalesce(F.sum(f"__{name}").over(before), zero).alias(f"__{name}") for name in sums.values()])
     joined = _match(local, starts, [*by, "__range"])
-    return joined.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums.values()}).drop("__range", *[f"__{n}" for n in sums.values()])
+    return joined.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums.values()}).drop(*[] if keep else ["__range"], *[f"__{n}" for n in sums.values()])
 
 
 def _finish(df: DataFrame, by: Sequence[str], stats: DataFrame, record: Column) -> DataFrame:
@@ -118,9 +127,43 @@ def spearman_test(df: DataFrame, x, y, alpha: float = 0.05, alternative: str = "
 
 
 @keyed
-def kendall_test(df: DataFrame, x, y, alternative: str = "two-sided", *, by: Sequence[str] = ()) -> DataFrame:
-    """A group's pairs meet in one task, where they are counted in O(n log n)."""
-    return df.groupBy(*by).agg(aggs.kendall_test(x, y, alternative).alias("r"))
+def kendall_test(df: DataFrame, x, y, alternative: str = "two-sided", *, by: Sequence[str] = (), split: bool | None = None) -> DataFrame:
+    """A group's pairs meet in one task, where they are counted in O(n log n); without keys, or with ``split``, in as many as there are ranges.
+
+    Both columns are cut into ranges. Pairs that differ in both ranges are counted from the numbers of rows by ranges, a
+    small table; pairs of one range of x in its task, and pairs of one range of y but different ranges of x in that one's.
+    """
+    if by and not split:
+        return df.groupBy(*by).agg(aggs.kendall_test(x, y, alternative).alias("r"))
+    a, b = num(x), num(y)
+    both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    d = df.select(*by, F.when(both, a).alias("x"), F.when(both, b).alias("y")).where("x IS NOT NULL").groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
+    d = ranged(ranged(d, by, "x").withColumnRenamed("__range", "rx"), by, "y").withColumnRenamed("__range", "ry")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*by).schema] + ["s double"])
+
+    def counted(first: str, second: str, apart: str | None):
+        def run(rows: pa.Table) -> pa.Table:
+            v = [rows.column(c).to_numpy() for c in (first, second)]
+            s = kernels.concordance(*v, rows.column("c").to_numpy().astype(float), rows.column(apart).to_numpy() if apart else None)
+            return pa.table([*[rows.column(c)[:1] for c in by], pa.array([float(s)])], [*by, "s"])
+
+        return run
+
+    # a range of one value of x has no pair that counts, however many rows it has
+    within = d.groupBy(*by, "rx").applyInArrow(counted("x", "y", None), schema)
+    across = d.groupBy(*by, "ry").applyInArrow(counted("x", "y", "rx"), schema)
+    grid = d.groupBy(*by, "rx", "ry").agg(F.sum("c").alias("c"))
+    apart = grid.groupBy(*by).applyInArrow(counted("rx", "ry", None), schema) if by else grid.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(counted("rx", "ry", None), schema)
+    s = within.unionByName(across).unionByName(apart).groupBy(*by).agg(F.sum("s").alias("s"))
+    ties = None
+    for v in "xy":
+        t = d.groupBy(*by, v).agg(F.sum("c").cast("double").alias("t"))
+        t = t.groupBy(*by).agg(F.sum("t").alias(f"n{v}"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias(f"v{v}"), F.sum(F.expr("t * (t - 1)")).alias(f"{v}1"), F.sum(F.expr("t * (t - 1) * (t - 2)")).alias(f"{v}2"))
+        ties = t if ties is None else _match(ties, t, by)
+    found = _match(ties, s, by)
+    pairs = F.expr("nx * (nx - 1) / 2")
+    record = from_moments("kendall_test", kernels.kendall, "nx", "s", pairs - F.col("x1") / 2, pairs - F.col("y1") / 2, "vx", "vy", "x1", "y1", "x2", "y2", alternative=validate.alternative(alternative))
+    return _finish(df, by, found, record)
 
 
 @keyed
@@ -235,19 +278,31 @@ def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type:
     return s.select(*by, from_moments("summary_stats", kernels.summary, *cols, bias_correction=bias_correction).alias("r"))
 
 
-def adjust_p(df: DataFrame, p: str, method: str, *, by: Sequence[str] = (), name: str = "p_adjusted") -> DataFrame:
-    """``df`` with the p-values of a whole column adjusted within ``by``; NULL and NaN stay NULL and do not count."""
+def adjust_p(df: DataFrame, p: str, method: str, *, by: Sequence[str] = (), name: str = "p_adjusted", split: bool | None = None) -> DataFrame:
+    """``df`` with the p-values of a whole column adjusted within ``by``; NULL and NaN stay NULL and do not count.
+
+    Equal p-values are adjusted alike, so it is done for distinct ones. Without keys, or with ``split``, the running
+    extremes go by ranges, each with the extreme of the ranges before or behind it.
+    """
     method = "BH" if validate.adjust_method(method) == "fdr" else method
-    v = valid(num(p))
-    whole = Window.partitionBy(*by, v.isNull())
-    n, up, down = F.count(v).over(whole), whole.orderBy(v.asc()), whole.orderBy(v.desc())
-    i = F.row_number().over(up)
-    d = df.withColumns({"__n": n, "__i": i})
-    one = F.col("__n") - F.col("__i") + 1
-    term = {"none": v, "bonferroni": v * F.col("__n"), "holm": v * one, "hochberg": v * one, "BH": v * F.col("__n") / F.col("__i"), "BY": v * F.col("__n") / F.col("__i")}[method]
+    keys = [f"__by{i}" for i in range(len(by))]
+    d = df.withColumns({**dict(zip(keys, map(F.col, by))), "__p": valid(num(p))})
+    counts = d.where("__p IS NOT NULL").groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    placed = _match(running(counts, keys, "__p", {"__c": "__b"}, split, keep=True), total, keys)
+    v, n, last = F.col("__p"), F.col("__n"), F.col("__b") + F.col("__c")
+    term = {"none": v, "bonferroni": v * n, "holm": v * (n - F.col("__b")), "hochberg": v * (n - last + 1), "BH": v * n / last, "BY": v * n / last}[method]
     if method == "BY":
-        term = term * F.aggregate(F.sequence(F.lit(1), F.col("__n").cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
-    d = d.withColumn("__t", F.when(v.isNotNull() & (F.col("__n") > 0), term))
-    rows = (Window.unboundedPreceding, Window.currentRow)
-    done = {"holm": F.max("__t").over(Window.partitionBy(*by, v.isNull()).orderBy("__i").rowsBetween(*rows))}.get(method, F.min("__t").over(Window.partitionBy(*by, v.isNull()).orderBy(F.desc("__i")).rowsBetween(*rows)) if method in ("hochberg", "BH", "BY") else F.col("__t"))
-    return d.withColumn(name, F.when(v.isNotNull(), F.least(done, F.lit(1.0)))).drop("__n", "__i", "__t")
+        # the harmonic number, by its expansion where that is exact to the last places
+        h = F.when(n <= 1000, F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k))
+        term = term * h.otherwise(F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n))
+    t = placed.withColumn("__t", term)
+    if method in ("holm", "hochberg", "BH", "BY"):
+        best, pick, order = (F.max, F.greatest, F.asc) if method == "holm" else (F.min, F.least, F.desc)
+        local = Window.partitionBy(*keys, "__range").orderBy(order("__p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = t.groupBy(*keys, "__range").agg(best("__t").alias("__e"))  # as many rows as ranges
+        before = Window.partitionBy(*keys).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = whole.select(*keys, "__range", best("__e").over(before).alias("__e"))
+        t = _match(t.withColumn("__t", best("__t").over(local)), carried, [*keys, "__range"]).withColumn("__t", pick("__t", "__e"))
+    done = t.select(*keys, "__p", F.least("__t", F.lit(1.0)).alias(name))
+    return _match(d, done, [*keys, "__p"], "left").drop(*keys, "__p")

@@ -11,12 +11,14 @@ import re
 from collections.abc import Callable
 from functools import partial
 from itertools import count
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.functions import kernels, scalars, validate
 from statloom.functions.finalize import list_udf, moment_udf
-from statloom.operators import aggs
+from statloom.operators import aggs, frames
 from statloom.operators.corr_matrix import corr_matrix
 from statloom.operators.table_one import table_one
 from statloom.plans import chart
@@ -24,6 +26,7 @@ from statloom.sources.model import FORMATS
 from statloom.sources.statfile import read_stat, read_stat_metadata, write_stat
 
 _NUMBER = count()
+_READY: WeakSet[SparkSession] = WeakSet()  # sessions that have the functions
 _D = "CAST({} AS DOUBLE)".format
 _S = "CAST({} AS STRING)".format
 
@@ -102,6 +105,13 @@ STATISTICS: dict[str, tuple] = {
 }
 
 
+#: statistics whose aggregate form collects a group's values: plain GROUP BY statements take the form that no group is too large for
+FRAMES = {
+    name: getattr(frames, name)
+    for name in ("mann_whitney_u", "wilcoxon_signed_rank", "spearman_test", "kendall_test", "anova_oneway", "chisq_independence", "chisq_goodness_of_fit", "shapiro_wilk", "anderson_darling", "ks_test_1samp", "ks_test_2samp", "summary_stats")
+}
+
+
 # -- reading SQL text ---------------------------------------------------------------------------------------------------
 
 _SKIP = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
@@ -157,11 +167,38 @@ def constant(text: str):
     raise TypeError(f"Parameter must be a constant value: {t}")
 
 
+def clauses(sql: str) -> dict[str, str] | None:
+    """select, from (all up to GROUP BY) and group of ``SELECT ... FROM ... [GROUP BY ...]``; None for any other statement."""
+    marks, depth, k = [], 0, 0
+    while k < len(sql):
+        if m := _SKIP.match(sql, k):
+            k = m.end()
+            continue
+        depth += (sql[k] in "([") - (sql[k] in ")]")
+        m = _CLAUSE.match(sql, k) if depth == 0 and (k == 0 or not (sql[k - 1].isalnum() or sql[k - 1] in "_.`")) else None
+        if m:
+            marks.append((re.sub(r"\s+", " ", m[0].lower()), m.start(), m.end()))
+            k = m.end()
+        else:
+            k += 1
+    names = [n for n, *_ in marks]
+    if names not in (["select", "from"], ["select", "from", "group by"]) or marks[0][1]:
+        return None
+    cut = [sql[e : b] for (_, _, e), (_, b, _) in zip(marks, [*marks[1:], ("", len(sql), 0)])]
+    return {"select": cut[0].strip(), "from": cut[1].strip(), "group": cut[2].strip() if len(cut) > 2 else ""}
+
+
+_CLAUSE = re.compile(r"(?:with|select|from|group\s+by|having|order\s+by|sort\s+by|cluster\s+by|distribute\s+by|limit|offset|window|union|intersect|except|lateral)\b", re.I)
+
+
 class StatsSession:
     """``StatsSession(spark).sql(statement)``; the session's catalog and tables stay the session's."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if spark in _READY:
+            return
+        _READY.add(spark)
         scalars.register(spark)
         for mark in chart.MARKS.values():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ggsql_mark_v1_{mark.name}() RETURNS STRING RETURN '{mark.describe()}'")
@@ -172,7 +209,45 @@ class StatsSession:
         text = statement.strip().rstrip(";")
         if m := re.match(r"copy\s+(\(|[\w.`]+)", text, re.I):
             return self._copy(text, m)
-        return self.spark.sql(self.expand(text))
+        framed = self._framed(text)
+        return self.spark.sql(self.expand(text)) if framed is None else framed
+
+    def _framed(self, text: str) -> DataFrame | None:
+        """The statement by functions of ``frames``, where it selects keys and statistics of which one would collect its groups."""
+        parts = clauses(text)
+        if parts is None or re.match(r"distinct\b|all\b", parts["select"], re.I):
+            return None
+        keys = arguments(parts["group"]) if parts["group"] else []
+        plain = lambda x: re.sub(r"\s+", " ", x).strip().lower()
+        items, asked = [], {}
+        for item in arguments(parts["select"]):
+            m = re.fullmatch(r"(.*?)(?:\s+as\s+(`[^`]+`|\w+))?", item, re.I | re.S)
+            body, name = m[1].strip(), (m[2] or "").strip("`")
+            if plain(body) in map(plain, keys):
+                items.append((f"__k{[plain(k) for k in keys].index(plain(body))}", name or body.split(".")[-1].strip("`")))
+                continue
+            call = re.fullmatch(r"\(?\s*(\w+)\s*\((.*)\)\s*(\)\s*\.\s*(\w+|\*))?", body, re.S)
+            if not call or call[1].lower() not in STATISTICS or (call[3] is None) != (body[0] != "(") or call[4] == "*" or close_of(f"({call[2]})", 0) != len(call[2]) + 1:
+                return None
+            key = (call[1].lower(), tuple(arguments(call[2])))
+            asked.setdefault(key, f"__r{len(asked)}")
+            items.append((asked[key] + (f".{call[4]}" if call[4] else ""), name or call[4] or call[1].lower()))
+        if any(re.fullmatch(r"\d+", k) for k in keys) or not any(name in FRAMES for name, _ in asked) or not all(name in FRAMES for name, _ in asked):
+            return None
+        columns, jobs = [f"{self.expand(k)} AS __k{i}" for i, k in enumerate(keys)], []
+        for (name, args), made in asked.items():
+            wide, params, _ = STATISTICS[name]
+            if not wide <= len(args) <= wide + len(params):
+                raise TypeError(f"{name} takes {wide} to {wide + len(params)} arguments")
+            options = {key: check(constant(args[wide + i])) if wide + i < len(args) else check(default) for i, (key, default, check) in enumerate(params)}
+            columns += [f"{self.expand(a)} AS {made}_{i}" for i, a in enumerate(args[:wide])]
+            jobs.append((FRAMES[name], [f"{made}_{i}" for i in range(wide)], options, made))
+        rows, by = self.spark.sql(f"SELECT {', '.join(columns)} FROM {self.expand(parts['from'])}"), [f"__k{i}" for i in range(len(keys))]
+        out = None
+        for f, cols, options, made in jobs:
+            one = f(rows, *cols, **options, by=by).withColumnRenamed("r", made)
+            out = one if out is None else frames._match(out, one, by)
+        return out.select(*[F.col(c).alias(n) for c, n in items])
 
     def layers(self, statement: str) -> dict[str, DataFrame]:
         """The data of each layer of a VISUALIZE statement; statistics and table functions work in it too."""

@@ -39,3 +39,40 @@ def test_forms_agree(rows, name):
     assert same(frame(rows, *args).first().r, rows.agg(column(*args).alias("r")).first().r)
     empty = frame(rows.limit(0), *args).collect()
     assert len(empty) == 1 and empty[0].r is None
+
+
+SQL_ARGS = {"mann_whitney_u": "x, y, 'less', true", "spearman_test": "x, y, 0.1", "chisq_independence": "g, c", "anova_oneway": "x, g", "summary_stats": "x, false, 5"}
+
+
+def test_sql_takes_frames(spark, rows):
+    """Plain GROUP BY statements never collect a group; others keep the aggregates; both give the same."""
+    from statloom.plans.session import StatsSession
+
+    rows.createOrReplaceTempView("framed")
+    s = StatsSession(spark)
+    for name, args in CASES.items():
+        call = f"{name}({SQL_ARGS.get(name, ', '.join(args))})"
+        fast, slow = s.sql(f"SELECT k, {call} AS r FROM framed WHERE n = 1 GROUP BY k"), s.sql(f"SELECT k, {call} AS r FROM framed WHERE n = 1 GROUP BY k ORDER BY k")
+        plan = fast._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan or name in ("kendall_test", "shapiro_wilk")
+        got, want = ({r.k: r.r for r in x.collect()} for x in (fast, slow))
+        assert got.keys() == want.keys() and all(same(got[k], want[k]) for k in want), name
+    one = s.sql("SELECT (kendall_test(x, y)).tau, (spearman_test(x, y)).p_value AS p FROM framed").first()
+    assert one.tau == pytest.approx(rows.agg(A.kendall_test("x", "y").alias("r")).first().r.tau) and 0 <= one.p <= 1
+
+
+@pytest.mark.parametrize("method", ["holm", "hochberg", "BH", "BY", "bonferroni", "none"])
+def test_adjust_p_ranges(spark, method):
+    """Adjusted columns by ranges, by groups and as lists agree, ties and missing values included."""
+    from statloom.functions import kernels
+
+    rng = random.Random(8)
+    p = [(i, i % 2, rng.choice([None, float("nan"), round(rng.random() ** 3, 2)])) for i in range(400)]
+    df = spark.createDataFrame(p, "i int, k int, p double").repartition(5)
+    for by in ([], ["k"]):
+        for split in (None, True):
+            got = {r.i: r.q for r in R.adjust_p(df, "p", method, by=by, name="q", split=split).collect()}
+            for group in ((0,), (1,)) if by else ((0, 1),):
+                own = [(i, v) for i, k, v in p if k in group]
+                want = kernels.adjust_p([v for _, v in own], method)
+                assert all((w is None and got[i] is None) or abs(got[i] - w) < 1e-12 for (i, _), w in zip(own, want))
