@@ -652,6 +652,31 @@ for _k in ("xpt", "sav", "zsav", "por"):
     _files(_k)
 
 
+_DAYS = "SELECT o_orderkey::DOUBLE AS K, CAST(o_orderdate AS DATE) AS D, o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) AS T FROM orders"
+
+
+def _dated(kind: str) -> None:
+    @query(f"statfile_{kind}_dates", f"SELECT K, CAST(D AS VARCHAR) AS D, strftime(CAST(T AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS T FROM ({_DAYS})")
+    def _(spark, d):
+        path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), f"orders_{uuid.uuid4().hex[:8]}.{kind}")
+        o = load(spark, d, "orders").withColumn("T", (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)).cast("timestamp_ntz"))
+        write_stat(o.select(F.col("o_orderkey").cast("double").alias("K"), F.to_date("o_orderdate").alias("D"), "T"), path)
+        back = read_stat(spark, path)
+        return back.select("K", F.col("D").cast("string").alias("D"), F.date_format("T", "yyyy-MM-dd HH:mm:ss").alias("T"))
+
+
+for _k in ("xpt", "sav", "por"):
+    _dated(_k)
+
+
+@query("statfile_dta", "SELECT n_name AS name, CAST(n_nationkey AS DOUBLE) AS key, CAST(n_nationkey * 100 AS INT) AS small, n_regionkey / 3 AS share, strftime(DATE '1950-01-01' + 997 * CAST(n_nationkey AS INT), '%Y-%m-%d') AS day FROM nation")
+def _(spark, d):
+    path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), "nation.dta")
+    rows = load(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("key"), (F.col("n_nationkey") * 100).cast("short").alias("small"), (F.col("n_regionkey") / 3).alias("share"), F.date_add(F.lit("1950-01-01").cast("date"), 997 * F.col("n_nationkey").cast("int")).cast("timestamp_ntz").alias("day"))
+    rows.toPandas().to_stata(path, convert_dates={"day": "td"}, write_index=False)  # 25 rows: a fixture, as there is no writer of these files
+    return read_stat(spark, path).select("name", "key", F.col("small").cast("int").alias("small"), "share", F.col("day").cast("string").alias("day"))
+
+
 @query("statfile_metadata", "SELECT * FROM (VALUES ('NAME', 'STRING', 'the name'), ('KEY', 'DOUBLE', '')) AS t(column_name, type, label)")
 def _(spark, d):
     path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), "nation.xpt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,6 +52,20 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def write_bytes(path: str, chunks: Iterable[bytes]) -> None:
+    """Writes a file piece by piece, also to stores that Arrow knows by their scheme."""
+    if re.match(r"[a-z0-9]+://", path) and not path.startswith("file://"):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        with store.open_output_stream(inner) as out:
+            for chunk in chunks:
+                out.write(chunk)
+        return
+    with open(path.removeprefix("file://"), "wb") as out:
+        out.writelines(chunks)
+
+
 # Display formats that make a number a date, a timestamp or a time.
 DATES = """
 WEEKDATE WEEKDATX MMDDYY DDMMYY YYMMDD DATE DATE7 DATE9 YYMMDD10 DDMMYYB DDMMYYB10 DDMMYYC DDMMYYC10 DDMMYYD DDMMYYD10

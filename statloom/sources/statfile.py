@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from statloom.sources import spss, xpt
-from statloom.sources.model import NAME_LENGTH, StatFile, Variable, check_name, check_options, detect, number_of, read_bytes, rows_of, spark_schema, variable_of
+from statloom.sources.model import NAME_LENGTH, StatFile, Variable, check_name, check_options, detect, number_of, read_bytes, rows_of, spark_schema, variable_of, write_bytes
 
 
 def _sas7bdat(data: bytes, encoding: str | None) -> StatFile:
@@ -177,7 +177,6 @@ def write_stat(df: DataFrame, path: str, format: str | None = None, **options) -
         else:
             packed = "zlib" if kind == "zsav" else str(options.get("compression", "none")).lower()
             chunks = spss.write_sav(variables, rows(), row["__n"], label=label, compression=packed)
-        with open(path.removeprefix("file://"), "wb") as out:
-            out.writelines(chunks)
+        write_bytes(path, chunks)
     finally:
         df.unpersist()

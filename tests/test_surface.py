@@ -197,3 +197,37 @@ def test_queries_match_their_sql(spark):
         a = sorted(key([r[c] for c in cols]) for r in df.collect())
         b = sorted(key([r[want.columns.index(c)] for c in cols]) for r in want.fetchall())
         assert a == b, (name, [x for x in zip(a, b) if x[0] != x[1]][:3])
+
+
+def test_every_listed_format():
+    from statloom.sources import model
+
+    for names, want in ((model.DATES, "date"), (model.TIMESTAMPS, "timestamp"), (model.TIMES, "time")):
+        assert {model.temporal("xpt", n) for n in names} == {want} and {model.temporal("sav", n + ".") for n in names if "." not in n} == {want}
+    assert [model.temporal("xpt", f) for f in ("IS8601DA", "B8601DN", "HHMMSS", "DTDATE", "DATETIME23.2", "DATE9.", "MMDDYY10.", "TIME8.2")] == ["date", "timestamp", "time", "date", "timestamp", "date", "date", "time"]
+    assert [model.temporal("xpt", f) for f in ("BEST12.", "F8.2", "COMMA10.2", "$20.", "", "DOLLAR8.")] == [None] * 6
+    assert [model.temporal("dta", f) for f in ("%td", "%tc", "%tcHH:MM:SS", "%d", "%9.0g")] == ["date", "timestamp", "time", "date", None]
+
+
+def test_quotes_inside_parentheses():
+    from statloom.plans import chart
+
+    for text, x in (
+        ("VISUALIZE regexp_replace(a, ')', '') AS x, b AS y FROM t DRAW point", "regexp_replace(a, ')', '')"),
+        ("VISUALIZE concat(a, '(') AS x, b AS y FROM t DRAW point", "concat(a, '(')"),
+        ("VISUALIZE a AS x, b AS y FROM (SELECT ')' AS k, a, b FROM t) DRAW point", "a"),
+        ("VISUALIZE f('it''s; (', \"q)\") AS x, b AS y FROM t DRAW point", "f('it''s; (', \"q)\")"),
+    ):
+        assert chart.parse(text).mappings == [(x, "x"), ("b", "y")]
+    with pytest.raises(chart.ChartError, match="Unbalanced"):
+        chart.parse("VISUALIZE f(a AS x, b AS y FROM t DRAW point")
+    with pytest.raises(chart.ChartError, match="Unterminated"):
+        chart.parse("VISUALIZE f(a, ') AS x, b AS y FROM t DRAW point")
+
+
+def test_remote_targets(spark, tmp_path):
+    """A store that Arrow knows by its scheme; here one that ends in a folder."""
+    from statloom.sources import model
+
+    model.write_bytes(f"file://{tmp_path}/a.bin", [b"ab", b"c"])
+    assert model.read_bytes(f"file://{tmp_path}/a.bin") == b"abc"
