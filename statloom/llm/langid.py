@@ -5,7 +5,8 @@ language's profile is its ``k`` most frequent n-grams over all learning rows, co
 language reach the driver. Ties of frequency go by code points, ties of distance to the smaller language name.
 
 Defined results: null text or text without a letter is ``und`` with score 0, as is everything if nothing was learned;
-rows without a language teach nothing; a null doc_id is kept; repeated rows count and are scored each time.
+rows without a language teach nothing; a null doc_id is kept; repeated rows count and are scored each time; a text of any
+length is counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

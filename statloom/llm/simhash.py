@@ -9,7 +9,8 @@ A top node with very many fingerprints is rooted again in the same way by one of
 pair is lost and none is capped. Of a group, only a spanning forest of its links leaves the task.
 
 Defined results: null or blank text has fingerprint 0, linked like any other; a null doc_id keeps its row and never
-names a component, unless no row of the component has one, when component_id is null; repeated rows stay repeated.
+names a component, unless no row of the component has one, when component_id is null; repeated rows stay repeated; a text
+of any length is hashed whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -147,3 +147,42 @@ def test_partitions_follow_the_input(spark):
     assert common.partitions(spark) == n and common.partitions(spark, 30 << 30) == 240
     d = spark.range(100).selectExpr("id AS block")
     assert "REPARTITION_BY_NUM" in common.grouped(d, "block", 240).count()._jdf.queryExecution().toString()
+
+
+def test_language_by_hand(spark):
+    """Profiles and out-of-place distances recomputed from strings; equal profiles go to the name that comes first."""
+    from statloom.llm import langid
+
+    rng = random.Random(11)
+    said = {"aa": "the of and to in that is was he for", "bb": "der die und das von zu den mit sich", "cc": "der die und das von zu den mit sich"}
+    rows = [(i, " ".join(rng.choice(said[lang].split()) for _ in range(rng.randint(1, 90))).title() + rng.choice(["", " 12!", " ß", "\n\nÉ"]), lang) for i in range(60) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(100 + i, t, "cc") for i, t, lang in rows if lang == "bb"] + [(200, None, "aa"), (201, "123 ... _", "bb"), (202, "the", None), (None, "und das", "aa"), (203, "the of " * 40_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+
+    def counts(text):
+        clean = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        s, out = f" {clean} ", {}
+        for n in (1, 2, 3) if clean else ():
+            for i in range(len(s) - n + 1):
+                if s[i : i + n] != " ":
+                    out[s[i : i + n]] = out.get(s[i : i + n], 0) + 1
+        return out
+
+    def top(n):
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return sorted(n, key=lambda g: (-n[g], code(g)))[:400]
+
+    sums: dict = {}
+    for _, text, lang in rows:
+        for g, n in counts(text).items() if lang else ():
+            sums.setdefault(lang, {})[g] = sums.setdefault(lang, {}).get(g, 0) + n
+    ranks = {lang: {g: i for i, g in enumerate(top(n))} for lang, n in sums.items()}
+    want = []
+    for i, text, _ in rows:
+        own = top(counts(text))
+        far = {lang: sum(abs(k - r[g]) if g in r else 400 for k, g in enumerate(own)) for lang, r in ranks.items()}
+        best = min(far, key=lambda lang: (far[lang], lang)) if own else "und"
+        want.append((i, best, round(1 - far[best] / (400 * len(own)), 9) if own else 0.0))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.fit(docs)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and not any(lang == "cc" for _, lang, _ in got)
+    assert langid.predict(docs.limit(0), langid.fit(docs)).count() == 0 and langid.keep_known(docs.limit(0), langid.fit(docs)).count() == 0
