@@ -372,12 +372,12 @@ def _qnorm(p: str) -> str:
 _SHAPIRO = f"""WITH o AS (SELECT c_nationkey AS g, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS i, count(*) OVER (PARTITION BY c_nationkey)::DOUBLE AS n FROM customer),
     m AS (SELECT *, {_qnorm("((i - 0.375) / (n + 0.25))")} AS m FROM o),
     k AS (SELECT g, n, 1 / sqrt(n) AS u, sum(m * m) AS ss, max(CASE WHEN i = n THEN m END) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2, avg(x) AS mean FROM m GROUP BY g, n),
-    a AS (SELECT *, {_poly("u", 0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)} + m1 / sqrt(ss) AS a1, {_poly("u", 0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)} + m2 / sqrt(ss) AS a2 FROM k),
-    f AS (SELECT *, CASE WHEN n > 5 THEN (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) ELSE (ss - 2 * m1 * m1) / (1 - 2 * a1 * a1) END AS phi FROM a),
+    a AS (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE {_poly("u", 0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)} + m1 / sqrt(ss) END AS a1, {_poly("u", 0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)} + m2 / sqrt(ss) AS a2 FROM k),
+    f AS (SELECT *, CASE WHEN n = 3 THEN 1 WHEN n > 5 THEN (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) ELSE (ss - 2 * m1 * m1) / (1 - 2 * a1 * a1) END AS phi FROM a),
     w AS (SELECT g, n, pow(sum(x * CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN n > 5 AND i = n - 1 THEN a2 WHEN n > 5 AND i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2) / sum(pow(x - mean, 2)) AS w FROM m JOIN f USING (g, n) GROUP BY g, n),
     z AS (SELECT *, CASE WHEN n > 11 THEN (ln(1 - w) - ({_poly("ln(n)", -1.5861, -0.31082, -0.083751, 0.0038915)})) / exp({_poly("ln(n)", -0.4803, -0.082676, 0.0030302)})
       ELSE (-ln(-2.273 + 0.459 * n - ln(1 - w)) - ({_poly("n", 0.5440, -0.39978, 0.025054, -0.0006714)})) / exp({_poly("n", 1.3822, -0.77857, 0.062767, -0.0020322)}) END AS z FROM w)
-    SELECT g AS c_nationkey, {r6("w")} AS w_statistic, {r6(f"1 - {phi('z')}")} AS p_value, CAST(n AS BIGINT) AS n FROM z"""
+    SELECT g AS c_nationkey, {r6("w")} AS w_statistic, {r6(f"CASE WHEN n = 3 THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0) ELSE 1 - {phi('z')} END")} AS p_value, CAST(n AS BIGINT) AS n FROM z"""
 
 
 @query("shapiro_wilk_by_nation", _SHAPIRO)
