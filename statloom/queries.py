@@ -6,6 +6,7 @@ chi-square distributions, Simpson's rule for Student's t and F.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ from statloom.operators.corr_matrix import corr_matrix
 from statloom.operators.table_one import table_one
 from statloom.plans import chart
 from statloom.plans.session import StatsSession
+from statloom.sources.model import write_bytes
 from statloom.sources.statfile import read_stat, read_stat_metadata, write_stat
 from statloom.streaming.windows import windowed
 
@@ -640,10 +642,22 @@ def _(spark, d):
     return StatsSession(spark).layers("VISUALIZE o_orderpriority AS x, o_totalprice AS y FROM statloom_orders DRAW bar")["layer_0"].select("x", F.round("y", 2).alias("y"))
 
 
+def _target(spark: SparkSession, name: str) -> str:
+    """A path in a fresh folder that executors see too: below ``spark.checkpoint.dir``; a temporary one only on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{(base or tempfile.mkdtemp(prefix='statloom-')).rstrip('/')}/statfile-{uuid.uuid4().hex}"
+    if "://" not in folder or folder.startswith("file://"):
+        folder = folder.removeprefix("file://").removeprefix("file:")
+        os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}"
+
+
 def _files(kind: str, **options) -> None:
     @query(f"statfile_{kind}", "SELECT n_name AS NAME, CAST(n_nationkey AS DOUBLE) AS KEY, CAST(n_regionkey AS DOUBLE) / 4 AS SHARE FROM nation")
     def _(spark, d):
-        path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), f"nation_{uuid.uuid4().hex[:8]}.{kind}")
+        path = _target(spark, f"nation_{uuid.uuid4().hex[:8]}.{kind}")
         write_stat(load(spark, d, "nation").select(F.col("n_name").alias("NAME"), F.col("n_nationkey").alias("KEY"), (F.col("n_regionkey") / 4).alias("SHARE")), path, **options)
         return read_stat(spark, path)
 
@@ -658,7 +672,7 @@ _DAYS = "SELECT o_orderkey::DOUBLE AS K, CAST(o_orderdate AS DATE) AS D, o_order
 def _dated(kind: str) -> None:
     @query(f"statfile_{kind}_dates", f"SELECT K, CAST(D AS VARCHAR) AS D, strftime(CAST(T AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS T FROM ({_DAYS})")
     def _(spark, d):
-        path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), f"orders_{uuid.uuid4().hex[:8]}.{kind}")
+        path = _target(spark, f"orders_{uuid.uuid4().hex[:8]}.{kind}")
         o = load(spark, d, "orders").withColumn("T", (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)).cast("timestamp_ntz"))
         write_stat(o.select(F.col("o_orderkey").cast("double").alias("K"), F.to_date("o_orderdate").alias("D"), "T"), path)
         back = read_stat(spark, path)
@@ -671,15 +685,17 @@ for _k in ("xpt", "sav", "por"):
 
 @query("statfile_dta", "SELECT n_name AS name, CAST(n_nationkey AS DOUBLE) AS key, CAST(n_nationkey * 100 AS INT) AS small, n_regionkey / 3 AS share, strftime(DATE '1950-01-01' + 997 * CAST(n_nationkey AS INT), '%Y-%m-%d') AS day FROM nation")
 def _(spark, d):
-    path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), "nation.dta")
+    path = _target(spark, "nation.dta")
     rows = load(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("key"), (F.col("n_nationkey") * 100).cast("short").alias("small"), (F.col("n_regionkey") / 3).alias("share"), F.date_add(F.lit("1950-01-01").cast("date"), 997 * F.col("n_nationkey").cast("int")).cast("timestamp_ntz").alias("day"))
-    rows.toPandas().to_stata(path, convert_dates={"day": "td"}, write_index=False)  # 25 rows: a fixture, as there is no writer of these files
+    made = io.BytesIO()
+    rows.toPandas().to_stata(made, convert_dates={"day": "td"}, write_index=False)  # 25 rows: a fixture, as there is no writer of these files
+    write_bytes(path, [made.getvalue()])
     return read_stat(spark, path).select("name", "key", F.col("small").cast("int").alias("small"), "share", F.col("day").cast("string").alias("day"))
 
 
 @query("statfile_metadata", "SELECT * FROM (VALUES ('NAME', 'STRING', 'the name'), ('KEY', 'DOUBLE', '')) AS t(column_name, type, label)")
 def _(spark, d):
-    path = os.path.join(tempfile.mkdtemp(prefix="statloom-"), "nation.xpt")
+    path = _target(spark, "nation.xpt")
     write_stat(load(spark, d, "nation").select(F.col("n_name").alias("NAME", metadata={"comment": "the name"}), F.col("n_nationkey").alias("KEY")), path, version=8)
     return read_stat_metadata(spark, path).drop("format")
 
