@@ -78,7 +78,56 @@ def test_simhash(odd):
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()]
     assert sorted(got, key=repr) == want
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").distinct().collect()) == sorted({i for i, _, c in want if i == c and i is not None})
+    stays = {r.doc_id for r in simhash.similar(odd).where("doc_id = component_id").collect()}
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.select("doc_id").collect()} == stays | {None} and kept.where("doc_id IS NULL").count() == 2
+    # null, empty and blank texts are alike; so are exact copies
+    assert {0, 9, 12} <= stays and not {3, 6, 15} & stays
+
+
+def bits_of(grams):
+    """The 256 bits of a set of shingles, by Python's own integers."""
+    mask, votes = (1 << 64) - 1, [0] * 256
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for w in range(4):
+            x = h + (w + 1) * 0x9E3779B97F4A7C15 & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            for b in range(64):
+                votes[w * 64 + b] += x >> b & 1
+    return sum(1 << i for i, v in enumerate(votes) if 2 * v > len(grams))
+
+
+@pytest.mark.parametrize("cell", [50_000, 6])
+def test_simhash_similar(spark, cell, monkeypatch):
+    """Copies of long texts with other words here and there, against all pairs by Jaccard; with a low bound tries are cut into cells."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "_DENSE", 4)
+    rng = random.Random(8)
+    texts = []
+    for size in (1, 1, 1, 3, 40):
+        base = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(400)]
+        for _ in range(size):
+            texts.append(" ".join(rng.choice(WORDS) if rng.random() < 0.006 else w for w in base))
+        half = base[:200] + [rng.choice(WORDS) + "x" for _ in range(200)]
+        texts.append(" ".join(half))
+    rng.shuffle(texts)
+    grams = [{" ".join(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    bits = [bits_of(g) for g in grams]
+    for t, b in zip(texts, bits):
+        assert sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(simhash.sketch(t.encode())[0])) == b
+    root, sure = list(range(len(texts))), list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if (bits[a] ^ bits[b]).bit_count() <= simhash.differing(0.8):
+                    root[a] = root[b] = min(root[a], root[b])
+                if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                    sure[a] = sure[b] = min(sure[a], sure[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == dict(enumerate(root)) == dict(enumerate(sure)) and len(set(root)) == 10
 
 
 @pytest.mark.parametrize("hot", [20_000, 4])
@@ -403,9 +452,11 @@ def test_pipeline(spark, tokenizer):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language ID", "SimHash near-dedup", "substring dedup", "benchmark decontamination", "BPE encoding and decoding"]
     rows = {r.doc_id: r.text for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
-    fps = {i: simhash.fingerprint(t.encode()) & (1 << 64) - 1 for i, t in rows.items()}
+    low = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t) for i, t in rows.items()}
+    split = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for i, t in low.items()}
+    fps = {i: bits_of({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()) for i, w in split.items()}
     root = {i: i for i in rows}
-    links = [(a, b) for a in rows for b in rows if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    links = [(a, b) for a in rows for b in rows if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.differing(0.8)]
     for _ in range(20):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
