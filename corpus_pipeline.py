@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the one with the smallest doc_id.
 
     Rows without a doc_id stay, and so do rows that repeat the doc_id that stays. Null texts are alike.
     """
