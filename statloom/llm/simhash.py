@@ -256,6 +256,7 @@ def _by_tries(walk):
             held.append(rows[cut:])
         if held:
             yield edges(np.concatenate(held))
+        held = rows = batch = None  # or trim() would find them in use
         trim()
 
     return run
