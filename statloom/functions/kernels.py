@@ -421,6 +421,34 @@ _ROYSTON = {  # polynomials, highest power first
 }
 
 
+def _shapiro_weights(n: int, squares: float) -> tuple[float, float, float]:
+    """Of the largest value and the next (0: its normal score counts), and the divisor of the scores of the others."""
+    m1, m2 = sp.qnorm((np.array([n, n - 1]) - 0.375) / (n + 0.25))
+    u = 1 / math.sqrt(n)
+    last = np.polyval(_ROYSTON["last"], u) + m1 / math.sqrt(squares)
+    if n <= 5:
+        return last, 0.0, math.sqrt((squares - 2 * m1**2) / (1 - 2 * last**2))
+    second = np.polyval(_ROYSTON["next"], u) + m2 / math.sqrt(squares)
+    return last, second, math.sqrt((squares - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2))
+
+
+def _shapiro_p(w: float, n: int) -> float:
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        gamma = np.polyval(_ROYSTON["gamma"], n)
+        if y >= gamma:
+            return 1e-19
+        y, mu, sigma = -math.log(gamma - y), np.polyval(_ROYSTON["mean_small"], n), math.exp(np.polyval(_ROYSTON["sd_small"], n))
+    else:
+        mu, sigma = np.polyval(_ROYSTON["mean_large"], math.log(n)), math.exp(np.polyval(_ROYSTON["sd_large"], math.log(n)))
+    return float(sp.snorm((y - mu) / sigma))
+
+
+def _shapiro_three(gap: float, ss: float) -> tuple[float, float]:
+    w = min(1.0, max(0.75, gap**2 / 2 / ss))
+    return w, min(1.0, max(0.0, 1 - 6 / math.pi * math.acos(math.sqrt(w))))
+
+
 def shapiro(x: np.ndarray) -> tuple[float, float] | None:
     """W and p by Royston's algorithm AS R94; None outside 3 <= n <= 5000."""
     n = len(x)
@@ -431,30 +459,47 @@ def shapiro(x: np.ndarray) -> tuple[float, float] | None:
         return 1.0, 1.0
     ss = ((x - x.mean()) ** 2).sum()
     if n == 3:
-        w = min(1.0, max(0.75, (x[2] - x[0]) ** 2 / 2 / ss))
-        return w, min(1.0, max(0.0, 1 - 6 / math.pi * math.acos(math.sqrt(w))))
+        return _shapiro_three(x[2] - x[0], ss)
     m = sp.qnorm((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    squares, u = (m * m).sum(), 1 / math.sqrt(n)
-    last = np.polyval(_ROYSTON["last"], u) + m[-1] / math.sqrt(squares)
-    a = m.copy()
-    if n > 5:
-        second = np.polyval(_ROYSTON["next"], u) + m[-2] / math.sqrt(squares)
-        eps = (squares - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a = m / math.sqrt(eps)
+    last, second, divisor = _shapiro_weights(n, (m * m).sum())
+    a = m / divisor
+    if second:
         a[-2], a[1] = second, -second
-    else:
-        a = m / math.sqrt((squares - 2 * m[-1] ** 2) / (1 - 2 * last**2))
     a[-1], a[0] = last, -last
     w = min(1.0, max(0.0, float((a * x).sum() ** 2 / ss)))
-    y = math.log(max(1 - w, 1e-300))
-    if n <= 11:
-        gamma = np.polyval(_ROYSTON["gamma"], n)
-        if y >= gamma:
-            return w, 1e-19
-        y, mu, sigma = -math.log(gamma - y), np.polyval(_ROYSTON["mean_small"], n), math.exp(np.polyval(_ROYSTON["sd_small"], n))
-    else:
-        mu, sigma = np.polyval(_ROYSTON["mean_large"], math.log(n)), math.exp(np.polyval(_ROYSTON["sd_large"], math.log(n)))
-    return w, float(sp.snorm((y - mu) / sigma))
+    return w, _shapiro_p(w, n)
+
+
+def score_sums(before: np.ndarray, count: np.ndarray, n: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the normal scores, and of their squares, of the ``count`` ranks behind ``before``, for each value."""
+    ends = np.cumsum(count)
+    sums, squares = np.zeros(len(n)), np.zeros(len(n))
+    for start in range(0, int(ends[-1]) if len(n) else 0, step):
+        i = np.arange(start, min(start + step, int(ends[-1])))
+        at = np.searchsorted(ends, i, side="right")
+        m = sp.qnorm((i - (ends - count - before)[at] + 0.625) / (n[at] + 0.25))
+        sums += np.bincount(at, m, len(n))
+        squares += np.bincount(at, m * m, len(n))
+    return sums, squares
+
+
+def shapiro_sums(n, squares, product, ss, low, low2, high2, high):
+    """shapiro() from sums over a group's values of any number: of scores squared, scores times values, squares from the mean; and the values at both ends."""
+    w, p = np.full(len(n), np.nan), np.full(len(n), np.nan)
+    for k in np.flatnonzero(n >= 3):
+        if low[k] == high[k]:
+            w[k] = p[k] = 1.0
+        elif n[k] == 3:
+            w[k], p[k] = _shapiro_three(high[k] - low[k], ss[k])
+        else:
+            last, second, divisor = _shapiro_weights(int(n[k]), squares[k])
+            m1, m2 = sp.qnorm((np.array([n[k], n[k] - 1]) - 0.375) / (n[k] + 0.25))
+            total = product[k] / divisor + (last - m1 / divisor) * (high[k] - low[k])
+            if second:
+                total += (second - m2 / divisor) * (high2[k] - low2[k])
+            w[k] = min(1.0, max(0.0, total**2 / ss[k]))
+            p[k] = _shapiro_p(w[k], int(n[k]))
+    return np.isnan(w), {"test_type": "Shapiro-Wilk", "w_statistic": w, "p_value": p, "n": n}
 
 
 def adjust_p(p: list, method: str) -> list:

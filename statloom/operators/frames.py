@@ -166,13 +166,29 @@ def kendall_test(df: DataFrame, x, y, alternative: str = "two-sided", *, by: Seq
     return _finish(df, by, found, record)
 
 
+def _scores(before: pa.Array, count: pa.Array, n: pa.Array) -> pa.Array:
+    sums, squares = kernels.score_sums(floats(before), floats(count), floats(n))
+    return pa.StructArray.from_arrays([pa.array(sums), pa.array(squares)], ["m", "mm"])
+
+
 @keyed
-def shapiro_wilk(df: DataFrame, x, *, by: Sequence[str] = ()) -> DataFrame:
-    """Groups of more than 5000 values have no result; they are counted first and never collected."""
-    v = df.select(*by, valid(num(x)).alias("v"))
-    small = v.groupBy(*by).agg(F.count("v").alias("n")).where("n <= 5000").drop("n") if by else None
-    held = _match(v, small.withColumn("__small", F.lit(True)), by).drop("__small") if by else v
-    return _finish(df, by, held.groupBy(*by).agg(aggs.shapiro_wilk("v").alias("s")), F.col("s"))
+def shapiro_wilk(df: DataFrame, x, most: int | None = 5000, *, by: Sequence[str] = (), split: bool | None = None) -> DataFrame:
+    """Groups of more than ``most`` values have no result. With 5000, as the method was fitted, they are counted first and never collected.
+
+    Other limits, or none, take Royston's formulas beyond what they were fitted to; nothing is collected then.
+    """
+    if most == 5000:
+        v = df.select(*by, valid(num(x)).alias("v"))
+        small = v.groupBy(*by).agg(F.count("v").alias("n")).where("n <= 5000").drop("n") if by else None
+        held = _match(v, small.withColumn("__small", F.lit(True)), by).drop("__small") if by else v
+        return _finish(df, by, held.groupBy(*by).agg(aggs.shapiro_wilk("v").alias("s")), F.col("s"))
+    d = _placed(df, x, by, split).withColumn("s", F.arrow_udf(_scores, "m double, mm double")("before", "c", "n"))
+    v, n, upto, gap = F.col("v"), F.col("n"), F.col("before") + F.col("c"), F.col("v") - F.col("mean")
+    ends = [F.min(v).alias("low"), F.min(F.when(upto >= 2, v)).alias("low2"), F.max(F.when(F.col("before") <= n - 2, v)).alias("high2"), F.max(v).alias("high")]
+    sums = [F.sum("s.mm").alias("squares"), F.sum(gap * F.col("s.m")).alias("product"), F.sum(F.col("c") * gap * gap).alias("ss")]
+    s = d.groupBy(*by).agg(F.first("n").alias("n"), *sums, *ends)
+    size = F.col("n") if most is None else F.when(F.col("n") <= most, F.col("n"))
+    return _finish(df, by, s, from_moments("shapiro_wilk", kernels.shapiro_sums, size, "squares", "product", "ss", "low", "low2", "high2", "high"))
 
 
 @keyed

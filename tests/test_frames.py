@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from statloom.operators import aggs as A
@@ -76,3 +77,24 @@ def test_adjust_p_ranges(spark, method):
                 own = [(i, v) for i, k, v in p if k in group]
                 want = kernels.adjust_p([v for _, v in own], method)
                 assert all((w is None and got[i] is None) or abs(got[i] - w) < 1e-12 for (i, _), w in zip(own, want))
+
+
+@pytest.mark.parametrize("split", [None, True])
+def test_shapiro_wilk_of_any_size(spark, split):
+    """Without a limit, by ranks of distinct values: as by sorted lists up to 5,000 values, and a result beyond."""
+    from statloom.functions import kernels
+
+    rng = random.Random(3)
+    groups = {0: [1.0, 2.0], 1: [1.0, 2.0, 4.0], 2: [0.0, 0.0, 1.0, 1.0], 3: [5.0] * 4, 4: [1.0, 2.0, 3.0, 4.0, 9.0], 5: [7.0, 1.0, 1.0, 3.0, 8.0, 8.0]}
+    groups |= {6: [round(rng.gauss(1e6, 3), 1) for _ in range(11)], 7: [rng.gauss(0, 1) for _ in range(3000)], 8: [float(round(rng.gauss(50, 9))) for _ in range(5000)], 9: [None, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k int, v double").repartition(3)
+    got = {r.k: r.r for r in R.shapiro_wilk(df, "v", most=None, by=["k"], split=split).collect()}
+    for k, own in groups.items():
+        want = kernels.shapiro(np.array([v for v in own if v is not None]))
+        assert (got[k] is None) == (want is None), k
+        assert want is None or ((got[k].w_statistic, got[k].p_value) == pytest.approx(want, abs=1e-10) and got[k].n == len(own)), k
+    # fifty copies of a sample of normal scores stay near to normal
+    large = spark.createDataFrame([(v,) for v in groups[7]], "v double").crossJoin(spark.range(50))
+    found = R.shapiro_wilk(large, "v", most=None).first().r
+    assert found.n == 150_000 and 0.998 < found.w_statistic < 1
+    assert R.shapiro_wilk(large, "v").first().r is None and R.shapiro_wilk(large, "v", most=149_999).first().r is None
