@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 FORMATS = ("sas7bdat", "xpt", "sav", "zsav", "por", "dta")
@@ -23,6 +25,16 @@ class Variable:
     width: int = 8
 
 
+@dataclass
+class Fixed:
+    """Rows of one width: where they begin, how many they are, and columns from the bytes of some of them."""
+
+    at: int
+    width: int
+    count: int
+    columns: Callable[[bytes], list[np.ndarray]]
+
+
 @dataclass
 class StatFile:
     """A parsed file: ``columns`` has a numpy array of numbers (NaN: missing) or of texts (None: missing) by variable."""
@@ -31,6 +43,7 @@ class StatFile:
     variables: list[Variable]
     columns: list[np.ndarray] = field(default_factory=list)
     label: str = ""
+    fixed: Fixed | None = None
 
 
 def detect(path: str, given: str | None = None) -> str:
@@ -40,16 +53,49 @@ def detect(path: str, given: str | None = None) -> str:
     return kind
 
 
-def read_bytes(path: str) -> bytes:
-    """The file, also from stores that Arrow knows by their scheme."""
-    if re.match(r"[a-z0-9]+://", path) and not path.startswith("file://"):
-        from pyarrow import fs
+class Stored:
+    """A file's bytes, read as they are asked for, also from stores that Arrow knows by their scheme."""
 
-        store, inner = fs.FileSystem.from_uri(path)
-        with store.open_input_stream(inner) as f:
-            return f.read()
-    with open(path.removeprefix("file://"), "rb") as f:
-        return f.read()
+    def __init__(self, path: str, block: int = 1 << 20):
+        if re.match(r"[a-z0-9]+://", path) and not path.startswith("file://"):
+            from pyarrow import fs
+
+            store, inner = fs.FileSystem.from_uri(path)
+            self.file = store.open_input_file(inner)
+            self.size = self.file.size()
+        else:
+            self.file = open(path.removeprefix("file://"), "rb")  # noqa: SIM115
+            self.size = os.fstat(self.file.fileno()).st_size
+        self.block, self.start, self.held = block, 0, b""
+
+    def __enter__(self) -> Stored:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def read(self, start: int, n: int) -> bytes:
+        self.file.seek(min(start, self.size))
+        return self.file.read(n)
+
+    def __getitem__(self, k: slice | int):
+        if isinstance(k, int):
+            return self[k : k + 1][0]
+        start, stop = k.start or 0, self.size if k.stop is None else min(k.stop, self.size)
+        if start >= stop:
+            return b""
+        if stop - start > self.block:
+            return self.read(start, stop - start)
+        if not self.start <= start or stop > self.start + len(self.held):
+            self.start, self.held = start, self.read(start, self.block)
+        return self.held[start - self.start : stop - self.start]
+
+
+def unpack_at(form: str, data: bytes | Stored, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
 
 
 def write_bytes(path: str, chunks: Iterable[bytes]) -> None:
@@ -105,29 +151,47 @@ def temporal(kind: str, fmt: str) -> str | None:
 SAS_EPOCH, SPSS_EPOCH = dt.datetime(1960, 1, 1), dt.datetime(1582, 10, 14)
 
 
-def decode(kind: str, what: str, value: float):
-    """A temporal value from the file's number."""
-    spss = kind in ("sav", "zsav", "por")
-    try:
-        if what == "date":
-            return (SPSS_EPOCH + dt.timedelta(seconds=value) if spss else SAS_EPOCH + dt.timedelta(days=int(np.floor(value)))).date()
-        seconds = value / 1000 if kind == "dta" else value
-        if what == "timestamp":
-            return (SPSS_EPOCH if spss else SAS_EPOCH) + dt.timedelta(microseconds=round(seconds * 1e6))
-        return (dt.datetime.min + dt.timedelta(microseconds=round(seconds % 86400 * 1e6) % 86_400_000_000)).time()
-    except OverflowError:
-        return None
-
-
-def encode(kind: str, value) -> float:
-    """The file's number of a temporal value."""
-    spss = kind in ("sav", "zsav", "por")
-    if isinstance(value, dt.datetime):
-        return (value.replace(tzinfo=None) - (SPSS_EPOCH if spss else SAS_EPOCH)) / dt.timedelta(seconds=1)
-    if isinstance(value, dt.date):
-        gap = dt.datetime.combine(value, dt.time()) - (SPSS_EPOCH if spss else SAS_EPOCH)
-        return gap / dt.timedelta(seconds=1) if spss else gap.days
-    return value.hour * 3600 + value.minute * 60 + value.second + value.microsecond / 1e6
+_UNIX = dt.datetime(1970, 1, 1)
+_DAYS = [(x - _UNIX).days for x in (dt.datetime.min, dt.datetime.max)]
+
+
+def decode(kind: str, what: str, x: np.ndarray) -> pa.Array:
+    """Temporal values from the file's numbers; NULL for missing ones and those outside the years 1 to 9999."""
+    epoch = (SPSS_EPOCH if kind in ("sav", "zsav", "por") else SAS_EPOCH) - _UNIX
+    if what == "date":
+        if kind in ("sav", "zsav", "por"):
+            whole = np.floor(x)
+            days = np.floor((whole + (np.rint((x - whole) * 1e6) >= 1e6)) / 86400) + epoch.days
+        else:
+            days = np.floor(x) + epoch.days
+        known = (days >= _DAYS[0]) & (days <= _DAYS[1])
+        return pa.array(np.where(known, days, 0).astype(np.int32), mask=~known).cast(pa.date32())
+    seconds = x / 1000 if kind == "dta" else x
+    if what == "time":
+        known = np.isfinite(seconds)
+        micros = np.rint(np.where(known, seconds, 0) % 86400 * 1e6).astype(np.int64) % 86_400_000_000
+        return pa.array(micros, mask=~known).cast(pa.time64("us"))
+    near = np.abs(seconds) < 4e11
+    micros = np.rint(np.where(near, seconds, 0) * 1e6).astype(np.int64) + epoch // dt.timedelta(microseconds=1)
+    known = near & (micros >= _DAYS[0] * 86_400_000_000) & (micros < (_DAYS[1] + 1) * 86_400_000_000)
+    return pa.array(np.where(known, micros, 0), mask=~known).cast(pa.timestamp("us"))
+
+
+def encode(kind: str, a: pa.Array) -> np.ndarray:
+    """The file's numbers (NaN: missing) of an Arrow array of numbers or temporal values."""
+    spss, form = kind in ("sav", "zsav", "por"), a.type
+    epoch = _UNIX - (SPSS_EPOCH if spss else SAS_EPOCH)
+    null = a.is_null().to_numpy(zero_copy_only=False)
+    if pa.types.is_date(form):
+        v = a.cast(pa.int32()).fill_null(0).to_numpy().astype(float) + epoch.days
+        v = v * 86400 if spss else v
+    elif pa.types.is_timestamp(form) or pa.types.is_time(form):
+        micros = a.cast(pa.timestamp("us") if pa.types.is_timestamp(form) else pa.time64("us")).cast(pa.int64()).fill_null(0).to_numpy()
+        seconds = micros // 1_000_000 + (epoch // dt.timedelta(seconds=1) if pa.types.is_timestamp(form) else 0)
+        v = seconds + micros % 1_000_000 / 1e6
+    else:
+        v = a.cast(pa.float64()).fill_null(0).to_numpy().astype(float)
+    return np.where(null, np.nan, v)
 
 
 _TIME_TYPE = getattr(T, "TimeType", None)
@@ -143,18 +207,20 @@ def spark_schema(f: StatFile) -> T.StructType:
     return T.StructType(fields)
 
 
-def rows_of(f: StatFile, start: int, stop: int):
-    """Rows as tuples of the Python values of spark_schema()."""
-    cols = []
-    for v, c in zip(f.variables, f.columns):
-        c = c[start:stop]
+def batch_of(f: StatFile, columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    """Columns of the file as the Arrow types of spark_schema(), those that ``schema`` names."""
+    at, arrays = {v.name: k for k, v in enumerate(f.variables)}, []
+    for name, kind in zip(schema.names, schema.types):
+        v, x = f.variables[at[name]], columns[at[name]]
+        what = temporal(f.kind, v.format) if v.type != "STRING" else None
         if v.type == "STRING":
-            cols.append(list(c))
-            continue
-        what = temporal(f.kind, v.format)
-        whole = v.type.startswith("INT") and not what
-        cols.append([None if x != x else decode(f.kind, what, x) if what else int(x) if whole else x for x in c.tolist()])
-    yield from zip(*cols)
+            arrays.append(pa.array(list(x), kind))
+        elif what:
+            arrays.append(decode(f.kind, what, x).cast(kind))
+        else:
+            gone = np.isnan(x)
+            arrays.append(pa.array(np.where(gone, 0, x).astype(np.int64) if v.type.startswith("INT") else x, mask=gone).cast(kind))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 # -- writing ------------------------------------------------------------------------------------------------------------
@@ -210,9 +276,5 @@ def variable_of(f: T.StructField, kind: str, width: int) -> Variable:
     raise ValueError(f"{kind}: column '{f.name}' has the unsupported type {t.simpleString()}")
 
 
-def number_of(kind: str, value) -> float:
-    if value is None:
-        return float("nan")
-    if isinstance(value, (dt.date, dt.time)):
-        return encode(kind, value)
-    return float(value)
+def texts_of(a: pa.Array) -> list[bytes]:
+    return [(x or "").encode() for x in a.to_pylist()]
