@@ -189,6 +189,21 @@ def test_portable_file_in_pieces(tmp_path, monkeypatch, lines):
         pieces(str(path), monkeypatch)
 
 
+def test_xpt_file_in_pieces(tmp_path, monkeypatch):
+    """Tasks read their own rows of a transport file, never the whole; numbers are packed at once as one by one."""
+    import numpy as np
+
+    columns = [[math.inf, -0.0, 5e-324, 1e300, *c[4:]] for c in numbers(9000)]
+    arrays = [np.array(c) for c in columns]
+    assert all(xpt.floats_to_ibm(a) == b"".join(map(xpt.float_to_ibm, c)) for a, c in zip(arrays, columns))
+    path = tmp_path / "a.xpt"
+    path.write_bytes(b"".join(xpt.write(VARIABLES, [xpt.block(VARIABLES, arrays)], 9000)))
+    n, rows, most = pieces(str(path), monkeypatch, TASK=24 * 500, BATCH=24 * 100)
+    assert n == 18 and len(rows) == 9000 and most <= 8192
+    assert [r for r in rows[4:]] == [tuple(None if x is None else pytest.approx(x, rel=1e-15) for x in r) for r in told(columns)[4:]]
+    assert rows[:4] == [(None,) * 3, (0.0,) * 3, (None,) * 3, (None,) * 3]
+
+
 def test_numbers_survive():
     import random
 
