@@ -204,6 +204,18 @@ def test_xpt_file_in_pieces(tmp_path, monkeypatch):
     assert rows[:4] == [(None,) * 3, (0.0,) * 3, (None,) * 3, (None,) * 3]
 
 
+@pytest.mark.parametrize("told_cases", [True, False])
+def test_sav_file_in_pieces(tmp_path, monkeypatch, told_cases):
+    """Tasks read their own rows of a plain system file, also where its header does not tell how many there are."""
+    import numpy as np
+
+    columns = numbers(9000)
+    path = tmp_path / "a.sav"
+    path.write_bytes(b"".join(spss.write_sav(VARIABLES, [spss.sav_block(VARIABLES, [np.array(c) for c in columns])], 9000 if told_cases else -1)))
+    n, rows, most = pieces(str(path), monkeypatch, TASK=24 * 500, BATCH=24 * 100)
+    assert n == 18 and rows == told(columns) and most <= 8192
+
+
 def test_numbers_survive():
     import random
 
