@@ -14,20 +14,26 @@ doc_id are written each, in the order of their texts. An empty table has no file
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.bpe import WordEncoder, chunks_of, cut_chunk, kept
+from statloom.llm.bpe import _CHUNK, _ODD, _WORD, WordEncoder, chunks_of, kept
 from statloom.llm.common import documents_of, text_rows, trim
 
 BLOCK, PART, MEMO, WORDS = 1 << 13, 1 << 22, 400_000, 900_000
+#: texts that are encoded together: as many, or of as many characters
+TEXTS, CHARS = 1000, 4 << 20
+_CUT, _NONE = re.compile(_WORD.pattern + "|\n"), (1 << 32) - 1
+_LINE = _NONE.to_bytes(4, "little")
 FORMAT = "part long, block int, n_ids int, planes array<binary>, docs array<struct<doc_id:long,start:long,n_tokens:long>>"
 
 
@@ -35,35 +41,58 @@ class Memo:
     """Ids of white-space chunks, kept between tasks in a worker.
 
     The first MEMO chunks and WORDS words stay; frequent ones come early, so what is met later is rare and is encoded
-    again where it occurs. That changes no result. A chunk is cut into words only when it is new, and new words of many
-    texts are encoded together.
+    again where it occurs. That changes no result. Many texts are encoded together: Arrow cuts them and finds their
+    distinct chunks, each is looked up once, and a chunk is cut into words only when it is new.
     """
 
     def __init__(self, definition: str):
         self.encoder, self.ids, self.words = WordEncoder.load(definition), {}, {}
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        chunks = [chunks_of(x) for x in texts]
-        found = [list(map(self.ids.get, own)) for own in chunks]
-        holes = [[k for k, v in enumerate(own) if v is None] if None in own else () for own in found]
-        new = self._encoded({own[k] for own, at in zip(chunks, holes) for k in at})
-        for own, ids, at in zip(chunks, found, holes):
-            for k in at:
-                ids[k] = new[own[k]]
+        whole = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(whole, _ODD.pattern)
+        # texts without odd characters have no white space but blanks, tabs and line ends, and lower case letter by letter
+        plain = pc.ascii_split_whitespace(pc.utf8_lower(whole.filter(pc.invert(odd))))
+        cut = [chunks_of(x) for x, o in zip(texts, odd.to_pylist()) if o]
+        flat = pa.array([c for own in cut for c in own], pa.string())
+        own = iter(self._texts(plain.flatten(), plain.offsets.to_numpy(), end)), iter(self._texts(flat, np.r_[0, np.cumsum(list(map(len, cut)), dtype=np.int64)], end))
+        return [next(own[o]) for o in odd.to_pylist()]
+
+    def _texts(self, chunks: pa.Array, offsets: np.ndarray, end: bytes) -> list[bytes]:
+        """Ids, and ``end``, of texts whose chunks are those between two offsets."""
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.ids.get, distinct))
+        holes = [k for k, x in enumerate(found) if x is None]
+        new = self._encoded([distinct[k] for k in holes])
+        for k, x in zip(holes, new.values()):
+            found[k] = x
         if len(self.ids) < MEMO:
             self.ids.update(new)
-        return [b"".join(ids) + end for ids in found]
-
-    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        words = {c: cut_chunk(c) for c in chunks}
-        rare = list(set().union(*words.values()).difference(self.words))
-        ids = dict(zip(rare, self.encoder.encode_raw(rare)))
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        if not len(ids):
+            return [end] * (len(offsets) - 1)
+        at, raw = np.frombuffer(places, np.int64)[offsets].tolist(), memoryview(data) if data else memoryview(b"")
+        return [bytes(raw[i:j]) + end for i, j in zip(at, at[1:])]
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks, in their order."""
+        own = [c for c in chunks if c[:1] != _CHUNK]
+        # a line end after each chunk, which no word has
+        words = _CUT.findall("\n".join([*own, ""])) if own else []
+        distinct = {*words, *(c for c in chunks if c[:1] == _CHUNK)} - {"\n"}
+        ids = {w: x for w in distinct if (x := self.words.get(w)) is not None}
+        rare = list(distinct.difference(ids))
+        fresh = dict(zip(rare, self.encoder.encode_raw(rare)))
         if len(self.words) < WORDS:
-            self.words.update(ids)
-            ids = self.words
-        else:
-            ids |= {w: x for own in words.values() for w in own if (x := self.words.get(w)) is not None}
-        return {c: ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own)) for c, own in words.items()}
+            self.words.update(fresh)
+        ids |= fresh
+        ids["\n"] = _LINE
+        raw = b"".join(map(ids.__getitem__, words))
+        ends = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == _NONE)
+        cut = dict(zip(own, (raw[i:j] for i, j in zip([0, *(ends + 4).tolist()], ends.tolist()))))
+        return {c: cut[c] if c[:1] != _CHUNK else ids[c] for c in chunks}
 
 
 def planes(ids: bytes) -> list[bytes]:
@@ -111,13 +140,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
                 size += len(ids) // 4
             waiting.clear()
 
+        chars = 0
         for doc_id, text in text_rows(batches):
-            waiting.append((doc_id, text or ""))
-            if len(waiting) == 128:
+            chars += len(text or "")
+            if waiting and (len(waiting) == TEXTS or chars > CHARS):
                 put()
                 yield from out(size >= PART)
                 if size >= PART:
                     part, block, size = part + 1, 0, 0
+                chars = len(text or "")
+            waiting.append((doc_id, text or ""))
         put()
         yield from out(True)
         trim()

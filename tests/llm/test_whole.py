@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from statloom.llm import bpe, common, queries, suffix, substring, tokenfile, toxicity
 
@@ -186,3 +187,35 @@ def test_language_by_hand(spark):
     got = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.fit(docs)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and not any(lang == "cc" for _, lang, _ in got)
     assert langid.predict(docs.limit(0), langid.fit(docs)).count() == 0 and langid.keep_known(docs.limit(0), langid.fit(docs)).count() == 0
+
+
+def test_chunks_are_looked_up_once(tokenizer_ids):
+    """Texts that are encoded together look a chunk up once, however often they have it, and have the tokenizer's ids."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    whole, memo = tokenizer_ids
+    memo.ids = Counted(memo.ids)
+    # every character that is cut without the tokenizer, and others between
+    known = [x for x in map(chr, range(0x10000)) if not bpe._ODD.search(x) and not x.isspace()]
+    texts = ["", " \t\r\n", "The cat's hat, " * 500, "“the” Cat's hat,", "".join(known), " ".join(known), "x" + "\n\n".join(known), "İ Σ <|endoftext|> the"]
+    for _ in range(2):
+        memo.ids.asked = 0
+        assert memo.encode(texts, b"end!") == [np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() + b"end!" for x in texts]
+        assert memo.ids.asked < 3 * len(known)
+        memo.ids.asked = 0
+        assert len(set(memo.encode(["the end " * 5000] * 4, b""))) == 1 and memo.ids.asked <= 3
+    assert memo.encode([], b"") == [] and memo.encode(["", ""], b"e") == [b"e", b"e"]
+
+
+@pytest.fixture
+def tokenizer_ids():
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_file(), encoding="utf-8") as f:
+        return Tokenizer.from_file(queries.tokenizer_file()), tokenfile.Memo(f.read())
