@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import documents_of, grouped, partitions, raw_rows, written
 
-LENGTH, GRAM, BLOCK, SLAB = 50, 16, 4 << 20, 4 << 20
+LENGTH, GRAM, BLOCK = 50, 16, 4 << 20
+#: strings whose anchors are found together: few enough for arrays of 8 bytes each to stay in a processor's cache
+SLAB = 1 << 16
 _PLACE = (1 << 31) - 1
 
 
@@ -119,23 +121,28 @@ class Block:
         key ^= key >> np.uint64(32)
         return s[new], np.diff(np.r_[new, len(s)]) if len(s) else new, p[new] + lo, row[new], key
 
-    def anchors(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bucket, hash bits of its distinct anchors in order, whether several documents here have it, each anchor's place in that order)."""
+    def _dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, hash bits of its distinct anchors in order, its anchors, each one's place in that order)."""
         bits = (self.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         if not len(bits):
             return
         order = np.argsort(self.bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(self.bucket[order])) + 1):
             seen, back = np.unique(bits[part], return_inverse=True)
+            yield int(self.bucket[part[0]]), seen, part, back
+
+    def anchors(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, hash bits of its distinct anchors in order, whether several documents here have it, its anchors, each one's place in that order)."""
+        for bucket, seen, part, back in self._dealt():
             doc = self.doc[self.row[part]]
             least, most = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
             np.minimum.at(least, back, doc)
             np.maximum.at(most, back, doc)
-            yield int(self.bucket[part[0]]), seen, least != most, part, back
+            yield bucket, seen, least != most, part, back
 
     def entries(self, flags: dict[int, bytes], length: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, distinct surroundings of its repeated anchors, smallest doc_id of each, anchors, each anchor's surroundings)."""
-        for bucket, seen, _, part, back in self.anchors():
+        for bucket, seen, part, back in self._dealt():
             flag = np.unpackbits(np.frombuffer(flags.get(bucket, b""), np.uint8), count=len(seen)).astype(bool)
             part = part[flag[back]]
             if not len(part):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,24 @@ def test_long_text(spark):
     assert any(several.any() for _, _, several, _, _ in block.anchors())
 
 
+def test_slabs_stay_small():
+    """Anchors of a block of 4 MB are found with a working memory below 20 times its size, and cover every string once, in order."""
+    text = np.random.default_rng(5).integers(97, 123, suffix.BLOCK, np.uint8).tobytes()
+    data = pa.record_batch([pa.array([1, 2]), pa.array([text[:3_000_000], text[3_000_000:]])], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema) as w:
+        w.write_batch(data)
+    packed = suffix._pack(sink.getvalue().to_pybytes())
+    tracemalloc.start()
+    block = suffix.Block(packed, 4, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
+    ends = block.first + block.many
+    assert block.many.sum() == len(text) - 2 * 49 and (block.at >= block.first + block.many - 1).all() and (block.at <= block.first + 50 - suffix.GRAM).all()
+    assert (np.diff(block.first) > 0).all() and (ends[:-1] <= block.first[1:]).all()
+
+
 def test_partitions_follow_the_input(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert common.partitions(spark) == n and common.partitions(spark, 30 << 30) == 240
